@@ -1,8 +1,8 @@
 """Distributed connected components by alternating large-star and small-star steps, in DataFrame operations only.
 
-Each step joins the edges with the least neighbour of each node. The least neighbours are written to the shared
-folder first, so that both sides of the join are plain exchanges and a hub with a large share of the edges can be
-split by adaptive execution. The number of rounds grows with the logarithm of the longest chain.
+Each step joins the edges with the least neighbour of each node. Beyond a few million edges the least neighbours are
+written to the shared folder first, so that both sides of the join are plain exchanges and a hub with a large share of
+the edges can be split by adaptive execution. The number of rounds grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pagelode.llm.scratch import materialize
 
 MOST_ROUNDS = 60
+#: Edges up to which a hub is no burden for one task.
+SMALL = 4_000_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if not last[0]:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(MOST_ROUNDS):
-        edges = _small_star(_large_star(edges))
+        edges = materialize(_small_star(materialize(_large_star(edges, last[0]), "edges", last[0]), last[0]), "edges", last[0])
         now = _digest(edges)
         if now == last:
             break
@@ -41,15 +43,20 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the node's least neighbour."""
+def _told(least: DataFrame, count: int) -> DataFrame:
+    """The least neighbours, written first where a hub could outgrow a task."""
+    return materialize(least, "least", 2 * count) if count > SMALL else least
+
+
+def _large_star(edges: DataFrame, count: int) -> DataFrame:
+    """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
-    return materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "edges")
+    least = _told(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), count)
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, count: int) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of them."""
-    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    least = _told(edges.groupBy("a").agg(F.min("b").alias("m")), count)
     tied = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return materialize(tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+    return tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct()

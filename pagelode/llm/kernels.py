@@ -63,12 +63,12 @@ def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBa
         at = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and how many words stand before each row (rows + 1 numbers)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+ROWS_PER_FILE = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,11 +33,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and return a reader of it."""
+def materialize(df: DataFrame, label: str, most_rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and return a reader of it.
+
+    most_rows: a known bound of its rows; the table then gets a file for each quarter of a million of them.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df if most_rows is None else df.coalesce(most_rows // ROWS_PER_FILE + 1)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

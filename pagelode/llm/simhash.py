@@ -241,15 +241,21 @@ def shard_links(shards: DataFrame, radius: int) -> DataFrame:
     return shards.mapInArrow(each, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """One row for each document: (id, fp, component_id); see the module's text."""
-    rows = materialize(fingerprint_rows(docs, id_col, text_col, shingle, seed), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+def linked_fingerprints(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links that span the sets of nodes' distinct fingerprints (fp) within the radius of each other."""
     blocks = blocks_for(nodes.count(), radius)
     shards = nodes.select("fp", F.explode(shard_keys(F.col("fp"), blocks, radius)).alias("s")).select("s.choice", "s.key", "fp")
     shards = shards.repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
-    found = connected_components(shard_links(shards, radius))
-    nodes = materialize(nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "nodes")
+    return shard_links(shards, radius)
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """One row for each document: (id, fp, component_id); see the module's text."""
+    rows = materialize(fingerprint_rows(docs, id_col, text_col, shingle, seed), "fingerprints")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes", rows.count())
+    count = nodes.count()
+    found = connected_components(linked_fingerprints(nodes, radius))
+    nodes = materialize(nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "nodes", count)
     roots = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = materialize(nodes.join(roots, "root").select("fp", "component_id"), "components")
+    answer = materialize(nodes.join(roots, "root").select("fp", "component_id"), "components", count)
     return rows.join(answer, "fp").select("id", "fp", "component_id")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -77,18 +78,11 @@ def pretokens(points: np.ndarray, row_at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-class ByteBPE:
-    """Encoder with a cache of pretokens that is emptied when it gets too large."""
-
-    def __init__(self, path: str, cached: int = 1 << 20) -> None:
-        import tiktoken
-        from tiktoken import _tiktoken
+class SpanCache:
+    """Token ids of byte spans: distinct spans are encoded once and kept until there are too many."""
 
-        del tiktoken
-        vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-        ranks = {b: i for b, i in _byte_ranks(vocabulary)}
-        self.bpe = _tiktoken.CoreBPE(ranks, {}, r"(?s).+")
-        self.most = cached
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1 << 20) -> None:
+        self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
@@ -97,21 +91,7 @@ class ByteBPE:
         self.ids = np.zeros(0, np.uint32)
         self.edge = np.zeros(1, np.int64)
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and where each text's begin."""
-        data, offsets = K.text_buffer(column)
-        points, at = code_points(data)
-        row_at = np.searchsorted(at, offsets)
-        begin = pretokens(points, row_at)
-        starts = at[begin]
-        ends = np.append(starts[1:], len(data))
-        which = self._lookup(data, starts, ends)
-        sizes = (self.edge[1:] - self.edge[:-1])[which]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        source = np.arange(total[-1]) + np.repeat(self.edge[which] - total[:-1], sizes)
-        return self.ids[source], total[np.searchsorted(begin, row_at)]
-
-    def _lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The cache's entry for each span; unknown ones are encoded first."""
         back, key = pd.factorize(K.hash_spans(data, starts, ends)[0])
         first = np.zeros(len(key), np.int64)
@@ -124,8 +104,7 @@ class ByteBPE:
         new = np.flatnonzero(~hit)
         if len(new):
             view = memoryview(np.ascontiguousarray(data))
-            one = self.bpe.encode_single_piece
-            got = [one(bytes(view[a:b])) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            got = self.encode([bytes(view[a:b]) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             entry = len(self.edge) - 1 + np.arange(len(new))
             self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum([len(x) for x in got])])
             self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32)])
@@ -135,6 +114,39 @@ class ByteBPE:
             spot = np.searchsorted(self.known, key)
         return self.index[spot][back]
 
+    def spread(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the given entries one after another, and where each entry's begin (entries + 1 numbers)."""
+        return spread(self.ids, self.edge, which)
+
+
+def spread(ids: np.ndarray, edge: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ids that `which` names, one after another, and where each begins."""
+    sizes = (edge[1:] - edge[:-1])[which]
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    return ids[np.arange(total[-1]) + np.repeat(edge[which] - total[:-1], sizes)], total
+
+
+class ByteBPE:
+    """Byte-level BPE of whole columns."""
+
+    def __init__(self, path: str) -> None:
+        from tiktoken import _tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        bpe = _tiktoken.CoreBPE(dict(_byte_ranks(vocabulary)), {}, r"(?s).+")
+        self.cache = SpanCache(lambda spans: [bpe.encode_single_piece(x) for x in spans])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin."""
+        data, offsets = K.text_buffer(column)
+        points, at = code_points(data)
+        row_at = np.searchsorted(at, offsets)
+        begin = pretokens(points, row_at)
+        starts = at[begin]
+        ids, total = self.cache.spread(self.cache.lookup(data, starts, np.append(starts[1:], len(data))))
+        return ids, total[np.searchsorted(begin, row_at)]
+
 
 def _byte_ranks(vocabulary: dict[str, int]):
     """The bytes of each entry, whose text shows byte values as printable characters."""
