@@ -8,6 +8,8 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
 
 from pagelode.config import DEFAULTS, TextConfig
 
@@ -47,7 +49,7 @@ def fold(text: Column, locale: str = "en") -> Column:
     return F.translate(F.lower(text), *fold_table())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_exact(text: pd.Series) -> pd.Series:
     """fold() with decompositions of several characters too, such as ligatures; outside the JVM."""
     return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if unicodedata.category(c) != "Mn"))
@@ -81,13 +83,12 @@ def stem(word: Column) -> Column:
     for suffix, rest in reversed(STEM_RULES):
         pattern = f"^(.{{3,}}){suffix}$"
         out = F.when(word.rlike(pattern), F.regexp_replace(word, F.lit(pattern), F.lit(f"$1{rest}"))).otherwise(out)
-    out = F.when((F.length(out) > 4) & out.endswith("e"), F.substring(out, F.lit(1), F.length(out) - 1)).otherwise(out)
-    return F.when(F.length(word) < 5, word).otherwise(out)
+    return F.when(F.length(word) < 5, word).otherwise(F.regexp_replace(out, F.lit("^(.{4,})e$"), F.lit("$1")))
 
 
 def with_stems(found: Column) -> Column:
     """Tokens with the stems that differ from them appended."""
-    return F.concat(found, F.flatten(F.transform(found, lambda t: F.when(stem(t) != t, F.array(stem(t))).otherwise(F.array().cast("array<string>")))))
+    return F.concat(found, F.array_compact(F.zip_with(found, F.transform(found, stem), lambda t, s: F.nullif(s, t))))
 
 
 def expand_tokens(found: Column, cfg: TextConfig = DEFAULTS.text) -> Column:
@@ -139,6 +140,15 @@ def sentences(text: Column) -> Column:
     return F.when(F.size(parts) > 0, F.zip_with(parts, ends, lambda p, e: F.struct((e - F.length(p)).alias("start"), e.alias("end"), p.alias("text"))))
 
 
+def sentence_rows(docs, keys: list[str], text: str):
+    """(keys, n, start, end, sentence) of long texts: offsets are running sums, not a fold within the row."""
+    parts = F.split(F.regexp_replace(text, r"([.!?])(\s+)", "$1$2\x1f"), "\x1f")
+    rows = docs.select(*keys, F.posexplode(parts).alias("n", "sentence")).where("sentence <> ''")
+    by = Window.partitionBy(*keys).orderBy("n")
+    rows = rows.withColumn("end", F.sum(F.length("sentence")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select(*keys, (F.row_number().over(by) - 1).alias("n"), (F.col("end") - F.length("sentence")).alias("start"), "end", "sentence")
+
+
 def clip(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most - 1)), F.lit("…"))).otherwise(text)
 
@@ -165,7 +175,7 @@ def etag(text: Column) -> Column:
     return F.lower(F.conv(F.hex(F.xxhash64(text)), 16, 36))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def etag_fnv(text: pd.Series) -> pd.Series:
     """FNV-1a over UTF-16 units in base 36, where marks must equal those of other clients."""
     digits = "0123456789abcdefghijklmnopqrstuvwxyz"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagelode.config import DEFAULTS, LexicalConfig, RetrievalConfig
+from pagelode.functions import literal
 from pagelode.functions import text as T
 
 
@@ -28,10 +29,16 @@ class LexicalIndex:
 
 
 def term_rows(docs: DataFrame, doc: str, text: str, keys: tuple[str, ...] = (), stems: bool = True, concat: bool = False) -> DataFrame:
-    """(keys, doc, term, tf). Counts are taken before stems are added, so each distinct word is stemmed once a document."""
-    found = T.tokens(F.col(text))
-    found = T.expand_tokens(found) if concat else found
-    rows = docs.select(*keys, F.col(doc).alias("doc"), F.explode(found).alias("term")).groupBy(*keys, "doc", "term").agg(F.count("*").alias("tf"))
+    """(keys, doc, term, tf). Words are counted first, so that folding and stemming run once a document and word."""
+    if concat:  # neighbours matter, so the tokens stay in order
+        rows = docs.select(*keys, F.col(doc).alias("doc"), F.explode(T.expand_tokens(T.tokens(F.col(text)))).alias("term")).groupBy(*keys, "doc", "term").agg(F.count("*").alias("tf"))
+    else:
+        counted = docs.select(*keys, F.col(doc).alias("doc"), F.explode(T.words(F.col(text))).alias("_word")).groupBy(*keys, "doc", "_word").agg(F.count("*").alias("tf"))
+        whole, parts = T.fold(F.col("_word")), T.identifier_parts(F.col("_word"))
+        terms = F.when(F.size(parts) > 0, F.concat(F.array(whole), F.transform(parts, lambda p: T.fold(p)))).otherwise(F.array(whole))
+        rows = counted.select(*keys, "doc", F.explode(terms).alias("term"), "tf")
+        if not stems:
+            rows = rows.groupBy(*keys, "doc", "term").agg(F.sum("tf").alias("tf"))
     if stems:
         stem = T.stem(F.col("term"))
         both = rows.select(*keys, "doc", F.explode(F.when(stem != F.col("term"), F.array("term", stem)).otherwise(F.array("term"))).alias("term"), "tf")
@@ -49,8 +56,12 @@ def build_index(docs: DataFrame, doc: str, text: str, keys: tuple[str, ...] = ()
 
 
 def query_terms(spark: SparkSession, query: str, stems: bool = True, concat: bool = False, name: str = "q") -> DataFrame:
-    """(query, pos, term): the distinct terms of one query, in order."""
-    return batch_terms(spark.createDataFrame([(name, query)], "query string, text string"), "query", "text", stems, concat)
+    """(query, pos, term): the distinct terms of one query, in order; a literal is tokenised where the plan is made."""
+    found = literal.tokens(query)
+    found = literal.with_stems(found) if stems else found
+    found = literal.expand(found) if concat else found
+    rows = [(name, n, term) for n, term in enumerate(dict.fromkeys(found))]
+    return spark.createDataFrame(rows, "query string, pos int, term string")
 
 
 def batch_terms(queries: DataFrame, query: str, text: str, stems: bool = True, concat: bool = False) -> DataFrame:

@@ -88,7 +88,7 @@ class PageIndex:
 
     @cached_property
     def content(self) -> LexicalIndex:
-        return build_index(self.targets, "target_id", "document", ("page_id",))
+        return self._kept(build_index(self.targets, "target_id", "document", ("page_id",)))
 
     @cached_property
     def controls(self) -> DataFrame:
@@ -97,7 +97,14 @@ class PageIndex:
 
     @cached_property
     def control_index(self) -> LexicalIndex:
-        return build_index(self.controls, "control_id", "document", ("page_id",), stems=False, concat=True)
+        return self._kept(build_index(self.controls, "control_id", "document", ("page_id",), stems=False, concat=True))
+
+    def _kept(self, index: LexicalIndex) -> LexicalIndex:
+        """An index whose tables are read by several steps of a query."""
+        index.postings, index.lengths = index.postings.persist(), index.lengths.persist()
+        index.stats = index.lengths.groupBy(*index.keys).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        self._indexes = [*getattr(self, "_indexes", []), index]
+        return index
 
     @property
     def qa(self) -> DataFrame:
@@ -116,3 +123,6 @@ class PageIndex:
         for name in ("projected", "chunks", "targets"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
+        for index in getattr(self, "_indexes", []):
+            index.postings.unpersist()
+            index.lengths.unpersist()
