@@ -52,7 +52,13 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_index(spark: SparkSession, sf: str) -> L.LexicalIndex:
-    return L.build_index(documents(spark, sf), "doc_id", "text")
+    index = L.build_index(documents(spark, sf), "doc_id", "text")
+    # the postings are read for frequencies, for lengths and for hits
+    index.postings = index.postings.persist()
+    lengths = index.postings.groupBy("doc").agg(F.sum("tf").alias("_dl"))
+    index.lengths = documents(spark, sf).select(F.col("doc_id").alias("doc")).join(lengths, "doc", "left").select("doc", F.greatest(F.coalesce("_dl", F.lit(0)), F.lit(1)).alias("dl")).persist()
+    index.stats = index.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return index
 
 
 def page_index(spark: SparkSession, sf: str) -> PageIndex:
