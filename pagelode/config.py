@@ -82,6 +82,9 @@ class ProjectConfig:
     heading_max_chars: int = 90
     max_wrapper_climb: int = 3
     infer_headings: bool = True
+    frames: bool = False
+    max_frames: int = 6
+    max_frame_nodes: int = 3000
     exclude: tuple[str, ...] = ()
 
 

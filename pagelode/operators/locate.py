@@ -25,7 +25,7 @@ def locate(index: PageIndex, description: str, role: str | None = None, affordan
     """Candidates of each page, the fuzzy ones only where nothing else is left, with confidence, ambiguity and recommendation."""
     cfg = index.cfg.retrieval
     told = ["page_id", "control_id", "seq", "role", "name", "row", "landmark", "landmark_name", "heading_path", "states", "affordances", "affordance_via", "actionable", "inert", "ordinal", "peer_count"]
-    controls = index.controls.select(*told, "document").persist()
+    controls = index.keep(index.controls.select(*told, "document"))
     ranked = rank_controls(index, description).join(controls, ["page_id", "control_id"])
     fits = F.lit(True)
     if role:
@@ -35,14 +35,14 @@ def locate(index: PageIndex, description: str, role: str | None = None, affordan
     if landmark:
         fits &= F.col("landmark") == landmark
     usable = F.col("actionable") & ~F.col("inert")
-    marked = ranked.withColumn("_fits", fits)
+    marked = index.keep(ranked.withColumn("_fits", fits))
     counts = marked.groupBy("page_id").agg(F.count_if(~F.col("_fits")).alias("removed_by_filter"), F.count_if(F.col("_fits") & ~usable).alias("latent"))
     kept = marked.where("_fits").where(usable).withColumn("match", F.lit("ranked")).drop("_fits")
     fuzzy = L.fuzzy(controls.where(usable), "control_id", "document", description, ("page_id",), cfg).withColumnRenamed("doc", "control_id").withColumn("coverage", F.lit(0.0)).join(controls, ["page_id", "control_id"])
     rest = fuzzy.join(kept.select("page_id").distinct(), "page_id", "left_anti").withColumn("match", F.lit("fuzzy"))
     rows = kept.drop("first").unionByName(rest.select(*kept.drop("first").columns))
     rows = rows.withColumn("rank", F.expr("row_number() OVER (PARTITION BY page_id ORDER BY rank)"))
-    rows = rows.withColumn("confidence", L.confidence(F.col("coverage"), cfg))
+    rows = index.keep(rows.withColumn("confidence", L.confidence(F.col("coverage"), cfg)))
     key = T.semantic_key(F.lit(description))
     gates = rows.groupBy("page_id").agg(
         F.count("*").alias("matched"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("_top"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("_next"),

@@ -118,11 +118,18 @@ class PageIndex:
     def coverage(self) -> DataFrame:
         return html.coverage_rows(self.projected)
 
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """Rows that several steps of a query read; dropped by release()."""
+        self._rows = [*getattr(self, "_rows", []), rows.persist()]
+        return self._rows[-1]
+
     def release(self) -> None:
         """Drop what was persisted."""
         for name in ("projected", "chunks", "targets"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
+        for rows in getattr(self, "_rows", []):
+            rows.unpersist()
         for index in getattr(self, "_indexes", []):
             index.postings.unpersist()
             index.lengths.unpersist()

@@ -45,7 +45,7 @@ def segment_nodes(nodes: list, cfg: SegmentConfig = DEFAULTS.segment) -> list[di
         if not n["text"] or not n["visible"] and not n["collapsed"]:
             continue
         path = list(n["heading_path"])
-        key = (n["is_primary"], n["landmark"], tuple(path), None if path else n["parent"])
+        key = (n.get("frame"), n["is_primary"], n["landmark"], tuple(path), None if path else n["parent"])
         if n["is_heading"]:
             opened(n, "heading", path)
             last = key
@@ -80,7 +80,7 @@ def segment(projected: DataFrame, cfg: SegmentConfig = DEFAULTS.segment) -> Data
                     rows.append((page_id, *[c[k] for k in names]))
             yield pd.DataFrame(rows, columns=["page_id", *names])
 
-    fold = F.transform("nodes", lambda n: F.struct(*[n[k].alias(k) for k in ("seq", "el", "text", "heading_path", "landmark", "landmark_name", "is_primary", "is_heading", "visible", "collapsed", "non_text", "parent", "ancestors")]))
+    fold = F.transform("nodes", lambda n: F.struct(*[n[k].alias(k) for k in ("seq", "el", "text", "heading_path", "landmark", "landmark_name", "is_primary", "is_heading", "visible", "collapsed", "non_text", "parent", "ancestors", "frame")]))
     return projected.select("page_id", fold.alias("nodes")).mapInPandas(each, f"page_id long, {CHUNK}")
 
 

@@ -26,7 +26,7 @@ NODE = """seq int, el int, tag string, role string, landmark string, landmark_na
 heading_path array<string>, level int, row string, states map<string,string>, affordances array<string>,
 affordance_via map<string,string>, controls_name string, controls array<int>, interactive boolean, inert boolean,
 visible boolean, actionable boolean, is_heading boolean, is_primary boolean, collapsed boolean, non_text string,
-parent int, ancestors array<int>, href string, attrs map<string,string>, selector string, form int"""
+parent int, ancestors array<int>, href string, attrs map<string,string>, selector string, form int, frame string"""
 OPAQUE = "el int, tag string, role string, src string, filename_hint string, chart_library string, landmark string, heading_path array<string>, reason string, rejected array<struct<text:string,reason:string>>"
 QA = "question string, answer string, source string"
 COUNTERS = (
@@ -320,8 +320,19 @@ class Projector:
         for el in self.document.walk():  # structured data that the walk didn't come by
             if self._is_json_ld(el) and not any(p is self.root for p in el.ancestors()) and not self.excluded_deep(el):
                 self._structured(el, None, None, [])
+        if self.cfg.project.frames:
+            self._frames()
         return self.out
 
+    def _frames(self) -> None:
+        """Nodes of inline frames, tagged with their frame; elements are numbered after those of the page."""
+        frames = [e for e in self.root.walk() if e.tag == "iframe" and "srcdoc" in e.attrs and not self.excluded_deep(e)]
+        for n, frame in enumerate(frames[: self.cfg.project.max_frames]):
+            base = 1 + max((x["el"] for x in self.out.nodes), default=0) + sum(1 for _ in self.document.walk())
+            for node in Projector(frame.attrs["srcdoc"], self.url, self.cfg, self.exclude).run().nodes[: self.cfg.project.max_frame_nodes]:
+                moved = {"seq": len(self.out.nodes), "el": node["el"] + base, "parent": node["parent"] + base, "ancestors": [a + base for a in node["ancestors"]], "frame": str(n), "is_primary": False}
+                self.out.nodes.append(node | moved)
+
     @staticmethod
     def _is_json_ld(el: Element) -> bool:
         return el.tag == "script" and (el.attrs.get("type") or "").lower() == "application/ld+json"
@@ -354,7 +365,7 @@ class Projector:
             "actionable": False, "is_heading": False, "is_primary": el is self.primary or any(p is self.primary for p in el.ancestors()),
             "collapsed": False, "non_text": None, "parent": el.parent.index if el.parent is not None else -1,
             "ancestors": [p.index for p in el.ancestors()], "href": href, "attrs": dict(el.attrs), "selector": self.selector(el) if more.get("interactive") else None,
-            "form": form.index if form is not None else None,
+            "form": form.index if form is not None else None, "frame": None,
         } | more
         if (el.attrs.get("type") or "").lower() == "password" or el.tag == "input":
             node["attrs"].pop("value", None)  # values are never shown
@@ -587,7 +598,7 @@ def _struct(columns: str) -> str:
 def node_rows(projected: DataFrame) -> DataFrame:
     """(page_id, seq, ...): a row for each node, with its place among nodes of the same identity."""
     rows = projected.select("page_id", F.inline("nodes"))
-    identity = "page_id, role, name, landmark, landmark_name, array_join(heading_path, '\x1f'), row"
+    identity = "page_id, frame, role, name, landmark, landmark_name, array_join(heading_path, '\x1f'), row"
     rows = rows.withColumn("ordinal", F.expr(f"row_number() OVER (PARTITION BY {identity} ORDER BY seq) - 1"))
     return rows.withColumn("peer_count", F.expr(f"count(*) OVER (PARTITION BY {identity})"))
 

@@ -204,3 +204,20 @@ def test_manifest_reads_only_what_is_listed(spark):
 
 def test_quoted_answers_must_be_in_the_region():
     assert verified_answer("The fee is 40 euro.", "40  EURO") == "40  EURO" and verified_answer("The fee", "50") is None and verified_answer("x", None) is None
+
+
+def test_orientation_and_summaries_keep_their_bounds(spark):
+    from pagelode.operators.orientation import orientation, orientation_rows, summarised
+
+    told = orientation({"purpose": "p" * 400, "tasks": [{"locate": "a", "selector": "a:hover"}, {"locate": "Apply", "selector": "#f"}, *[{"locate": "x" * 90, "constraint": "y" * 200}] * 9]})
+    assert len(told["purpose"]) == 280 and told["tasks"][0]["locate"] == "Apply" and len(repr(told)) <= 4 * 180
+    assert orientation_rows(spark, {1: {"purpose": "Permits"}}).first().purpose == "Permits"
+    assert summarised("short", lambda s: "x") == ("short", False)
+    assert summarised("long text " * 100, lambda s: "brief") == ("brief", True) and summarised("long text " * 100, lambda s: None)[1] is False
+
+
+def test_inline_frames_are_read_only_when_asked_for():
+    page = "<body><p>Shell</p><iframe srcdoc='<p>Inside the frame</p>'></iframe>"
+    assert "Inside" not in str(project_page(page).nodes)
+    found = project_page(page, None, configure({"project": {"frames": True}})).nodes
+    assert [n["frame"] for n in found if "Inside" in n["text"]] == ["0"]
