@@ -21,6 +21,7 @@ least unless no other id is in the component. Repeated ids and rows: each row is
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -37,6 +38,8 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 SLICE_BYTES = 4 << 20
+#: Choices of blocks up to which all are asked at once.
+FEW_CHOICES = 20
 
 #: Fixed values of XXH64.
 P1, P2, P3, P4, P5 = (K.U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -163,29 +166,32 @@ class BKTree:
     """A BK-tree over distinct fingerprints, held in preorder: a subtree is a run of positions."""
 
     def __init__(self, fps: np.ndarray) -> None:
-        self.fps = np.empty_like(fps)
-        self.end = np.zeros(len(fps), np.int64)
+        self.order, self.end = np.zeros(len(fps), np.int64), np.zeros(len(fps), np.int64)
         self.children: list[list[tuple[int, int]]] = [[] for _ in range(len(fps))]
-        todo, at = [(fps, -1, 0)], 0
+        todo, at = [(np.arange(len(fps)), -1, 0)], 0
         while todo:
             members, parent, distance = todo.pop()
             root = at
             at += 1
-            self.fps[root], self.end[root] = members[0], root + len(members)
+            self.order[root], self.end[root] = members[0], root + len(members)
             if parent >= 0:
                 self.children[parent].append((distance, root))
             if len(members) > 1:
-                away = np.bitwise_count(members[1:] ^ members[0])
+                away = np.bitwise_count(fps[members[1:]] ^ fps[members[0]])
                 order = np.argsort(away, kind="stable")
                 rest, away = members[1:][order], away[order]
                 lead = np.flatnonzero(np.concatenate([[True], np.diff(away.astype(np.int16)) != 0]))
                 for i, j in zip(lead, [*lead[1:], len(rest)], strict=True):
                     todo.append((rest[i:j], root, int(away[i])))
+        self.fps = fps[self.order]
 
-    def linked(self, radius: int) -> np.ndarray:
-        """For each position, the least position of its set: sets are joined by links within the radius."""
-        label = np.arange(len(self.fps))
-        todo = [(0, label.copy())]
+    def linked(self, radius: int, label: np.ndarray | None = None) -> np.ndarray:
+        """For each position, the least position of its set: sets are joined by links within the radius.
+
+        label: the sets known so far, in the same form; each position for itself by default.
+        """
+        label = np.arange(len(self.fps)) if label is None else label.copy()
+        todo = [(0, np.arange(len(self.fps)))]
         while todo:
             node, asked = todo.pop()
             low, high = label[node : self.end[node]].min(), label[node : self.end[node]].max()
@@ -205,23 +211,32 @@ class BKTree:
 
 
 def shard_links(shards: DataFrame, radius: int) -> DataFrame:
-    """(a, b): spanning stars of the linked sets in each shard. The input lies together and sorted by shard."""
+    """(a, b): what joins the known sets (column known) in each shard, a star for each new set.
+
+    The input (choice, key, fp, known) lies together and sorted by shard.
+    """
 
-    def runs(choice: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def runs(choice: np.ndarray, key: np.ndarray, fp: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         new = np.concatenate([[True], (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])])
         lead = np.flatnonzero(new)
         size = np.diff(np.append(lead, len(fp)))
         two = lead[size == 2]  # a root with one child: its key is the distance
-        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
-        yield fp[two][near], fp[two + 1][near]
+        near = (np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius) & (known[two] != known[two + 1])
+        yield known[two][near], known[two + 1][near]
         for at, n in zip(lead[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            mine = known[at : at + n]
+            if (mine == mine[0]).all():
+                continue
             tree = BKTree(fp[at : at + n])
-            label = tree.linked(radius)
-            other = np.flatnonzero(label != np.arange(n))
-            yield tree.fps[other], tree.fps[label[other]]
+            sets = mine[tree.order]
+            _, first, back = np.unique(sets, return_index=True, return_inverse=True)
+            start = first[back]
+            label = tree.linked(radius, start)
+            other = np.flatnonzero((start == np.arange(n)) & (label != start))
+            yield sets[other], sets[label[other]]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        held = [np.zeros(0, np.int32), *[np.zeros(0, np.int64)] * 3]
         for batch in batches:
             now = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
             if not len(now[0]):
@@ -234,19 +249,34 @@ def shard_links(shards: DataFrame, radius: int) -> DataFrame:
 
     def pack(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if len(columns[0]):
-            got = list(runs(columns[0], columns[1], columns[2].view(np.uint64)))
-            a, b = (np.concatenate(x).view(np.int64) for x in zip(*got, strict=True))
+            got = list(runs(columns[0], columns[1], columns[2].view(np.uint64), columns[3]))
+            a, b = (np.concatenate(x) for x in zip(*got, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return shards.mapInArrow(each, "a long, b long")
 
 
 def linked_fingerprints(nodes: DataFrame, radius: int) -> DataFrame:
-    """(a, b): links that span the sets of nodes' distinct fingerprints (fp) within the radius of each other."""
+    """(a, b): links that span the sets of nodes' distinct fingerprints (fp) within the radius of each other.
+
+    Where there are many choices of blocks, a dense set would be told anew by each. So the first few choices are
+    united before the others are asked, and those only tell what joins sets that are still apart.
+    """
     blocks = blocks_for(nodes.count(), radius)
-    shards = nodes.select("fp", F.explode(shard_keys(F.col("fp"), blocks, radius)).alias("s")).select("s.choice", "s.key", "fp")
-    shards = shards.repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
-    return shard_links(shards, radius)
+    choices = math.comb(blocks, radius)
+    early = choices if choices <= FEW_CHOICES else choices // 8
+
+    def links(known: DataFrame, some) -> DataFrame:
+        shards = known.select("fp", "known", F.explode(F.filter(shard_keys(F.col("fp"), blocks, radius), some)).alias("s")).select("s.choice", "s.key", "fp", "known")
+        return shard_links(shards.repartition("choice", "key").sortWithinPartitions("choice", "key", "fp"), radius)
+
+    first = links(nodes.select("fp", F.col("fp").alias("known")), lambda s: s["choice"] < early)
+    if early == choices:
+        return first
+    sets = materialize(connected_components(first), "sets")
+    known = nodes.join(sets, nodes.fp == sets.node, "left").select("fp", F.coalesce("component", "fp").alias("known"))
+    rest = links(known, lambda s: s["choice"] >= early)
+    return sets.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:

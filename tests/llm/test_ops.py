@@ -437,3 +437,22 @@ def test_words_and_hashes_of_spans():
     hashes = kernels.hash_spans(data, starts, ends)[0].tolist()
     assert len(set(zip(words, hashes, strict=True))) == len(set(words)) == len(set(hashes))
     assert simhash.xxh64_spans(data, starts, ends, 42).tolist() == [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+
+
+def test_links_found_in_two_phases_span_the_same_sets(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+    flips = [base ^ np.bitwise_or.reduce([np.uint64(1) << rng.integers(0, 63, len(base)).astype(np.uint64) for _ in range(k)]) for k in (2, 4, 6, 9, 12)]
+    fps = np.unique(np.concatenate([base, *flips]))
+    want = np.arange(len(fps))
+    for i in range(len(fps)):
+        near = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4)
+        want[np.isin(want, want[near])] = want[near].min()
+    nodes = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    monkeypatch.setattr(simhash, "FEW_CHOICES", 1)
+    monkeypatch.setattr(simhash, "blocks_for", lambda count, radius: 6)
+    found = {r.node: r.component for r in connected_components(simhash.linked_fingerprints(nodes, 4)).collect()}
+    sets = defaultdict(set)
+    for f, label in zip(fps.view(np.int64).tolist(), want.tolist(), strict=True):
+        sets[label].add(found.get(f, f))
+    assert all(len(v) == 1 for v in sets.values()) and len({next(iter(v)) for v in sets.values()}) == len(sets)
