@@ -64,7 +64,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    found = quality(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), f"{TOKENIZERS}/piece_bpe_32k.model", with_text=False)
     return found.select("doc_id", *COUNTS, *MEASURES, "base_failed", "kept")
 
 

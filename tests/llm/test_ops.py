@@ -331,6 +331,25 @@ def test_quality_rejects_what_no_language_looks_like(spark, odd, empty):
     assert quality(odd, PIECES).count() == len(ODD) and quality(empty, PIECES).count() == 0
 
 
+def test_quality_bands_of_the_corpus_reject_junk_and_keep_clean_text(spark):
+    rng = np.random.default_rng(12)
+    common = "the of and to in that is was for it with as his on be at by had not are but from or have an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through".split()
+    rows = []
+    for n in range(1500):
+        words = rng.choice(common, int(rng.integers(20, 400))).tolist()
+        junk = 1 if n % 20 == 0 else 2 if n % 20 == 10 else 0
+        if junk:
+            words = [w + "#*$%&"[int(k)] * 3 for w, k in zip(words, rng.integers(0, 5, len(words)), strict=True)] if junk == 1 else " | ".join(words).split(" ")
+        rows.append((n, " ".join(words), "en" if n % 3 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = quality(docs.repartition(5), PIECES).collect()
+    junk, clean = [r for r in found if r.doc_id % 10 == 0], [r for r in found if r.doc_id % 10]
+    assert not any(r.base_failed for r in found)
+    assert np.mean([not r.kept for r in junk]) > 0.8 and np.mean([r.kept for r in clean]) > 0.95
+    again = quality(docs.coalesce(1), PIECES, with_text=False)
+    assert "text" not in again.columns and {(r.doc_id, r.kept) for r in again.collect()} == {(r.doc_id, r.kept) for r in found}
+
+
 # --- 9 ------------------------------------------------------------------------------------------------------------
 
 
