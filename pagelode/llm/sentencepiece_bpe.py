@@ -2,13 +2,15 @@
 
 Method. A text gets a leading space, spaces become the vocabulary's space mark, and the agenda merges neighbouring
 symbols: always the best-ranked candidate, leftmost on ties. With dropout a candidate is skipped if a keyed hash of
-(seed, variant, place, symbols) falls below the rate, so the same key always gives the same segmentation and other
+(seed, document, span, place, symbols) falls below the rate, so the same key always gives the same segmentation and other
 keys give others. Characters outside the vocabulary become byte tokens, also the space mark itself where a text has
 it, so that every segmentation decodes to the very same text. Without dropout ids equal the sentencepiece library's.
 
 No piece has a space mark after another character, so spans that begin with spaces never merge with each other:
-distinct (span, variant) pairs of a batch are merged once, all in step. A span of over 128 symbols has its own agenda.
-A span's variant is drawn from its document's key and its place, so it doesn't depend on partitions.
+all spans of a batch are merged in step. A span of over 128 symbols has its own agenda. A span's key comes from its
+document's key and its place, so it doesn't depend on partitions and every occurrence of a word is drawn anew. Distinct spans
+are merged once without dropout; an occurrence whose key skips none of the candidates met there shares the result, as its
+agenda is the same, and all others are merged apart.
 
 Defined cases. Null or empty text: no tokens, lossless. Null id: key 0. Repeated rows give equal ids.
 """
@@ -31,7 +33,8 @@ from pagelode.llm.tokens import spread
 
 RATE = 0.1
 SEED = 20_240_607
-VARIANTS = 8
+#: Keys a span can have; 0: every occurrence its own.
+VARIANTS = 0
 SLICE_BYTES = 2 << 20
 LONG_SPAN = 128
 MARK = 0x2581
@@ -128,8 +131,11 @@ def _skipped(key: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.nda
     return (K.mix(key ^ K.mix(about + K.U64(0xA0761D6478BD642F))) >> K.U64(11)) < K.U64(threshold)
 
 
-def merge_spans(v: Vocabulary, symbols: np.ndarray, edge: np.ndarray, key: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Run the agenda in every span: (span, place, symbol) of what is left, in order."""
+def merge_spans(v: Vocabulary, symbols: np.ndarray, edge: np.ndarray, key: np.ndarray, rate: float, offered: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Run the agenda in every span: (span, place, symbol) of what is left, in order.
+
+    offered: gets (span, place, symbol, symbol) of the candidates met, but for spans of over LONG_SPAN symbols.
+    """
     threshold = int(rate * (1 << 53))
     size = np.diff(edge)
     span = np.repeat(np.arange(len(size)), size)
@@ -147,9 +153,12 @@ def merge_spans(v: Vocabulary, symbols: np.ndarray, edge: np.ndarray, key: np.nd
         ok = ok[span[at[ok]] == span[at[ok] + 1]]
         a = at[ok]
         found = v.merge_rank(symbol[a], symbol[a + 1])
-        if threshold:
+        if threshold or offered is not None:
             can = np.flatnonzero(found < NEVER)
             b = a[can]
+        if offered is not None:
+            offered.append((span[b], place[b], symbol[b], symbol[b + 1]))
+        if threshold:
             skip = _skipped(key[span[b]], place[b], symbol[b], symbol[b + 1], threshold)
             found[can[skip]] = NEVER
         out[ok] = found
@@ -241,24 +250,53 @@ def encode(v: Vocabulary, column: pa.Array, keys: np.ndarray, rate: float, seed:
     before = np.searchsorted(starts, offsets)
     row = np.repeat(np.arange(rows), np.diff(before))
     code = K.hash_spans(spaced, starts, ends)[0]
-    variant = np.zeros(len(starts), K.U64)
+    key = np.zeros(len(starts), K.U64)
     if rate > 0:
         place = np.arange(len(starts)) - before[row]
-        variant = K.mix(K.mix(keys.astype(np.int64).view(K.U64))[row] + place.astype(K.U64) * K.U64(0x9E3779B97F4A7C15)) % K.U64(variants)
-    back, distinct = pd.factorize(code ^ K.mix(variant + K.U64(1)))
+        key = K.mix(K.mix(keys.astype(np.int64).view(K.U64))[row] + place.astype(K.U64) * K.U64(0x9E3779B97F4A7C15))
+        if variants:
+            key = key % K.U64(variants)
+    shared = rate <= 0 or bool(variants)
+    back, distinct = pd.factorize(code ^ K.mix(key + K.U64(1)) if shared else code)
     first = np.zeros(len(distinct), np.int64)
     first[back[::-1]] = np.arange(len(back) - 1, -1, -1)
+    key = K.mix(key + K.U64(seed))
+    if shared:
+        ids, edge = _merged(v, spaced, starts[first], ends[first], key[first], rate)
+    else:
+        offered: list[tuple[np.ndarray, ...]] = []
+        ids, edge = _merged(v, spaced, starts[first], ends[first], key[first], 0.0, offered)
+        apart = np.flatnonzero(_differs(offered, back, len(first), key, int(rate * (1 << 53))) | (ends - starts > LONG_SPAN))
+        more, more_edge = _merged(v, spaced, starts[apart], ends[apart], key[apart], rate)
+        back[apart] = len(first) + np.arange(len(apart))
+        ids, edge = np.concatenate([ids, more]), np.concatenate([edge, edge[-1] + more_edge[1:]])
+    ids, total = spread(ids, edge, back)
+    return ids, total[before]
 
-    size = (ends - starts)[first]
+
+def _differs(offered: list[tuple[np.ndarray, ...]], back: np.ndarray, count: int, key: np.ndarray, threshold: int) -> np.ndarray:
+    """For each occurrence, whether its key skips one of the candidates offered in its distinct span."""
+    span, place, left, right = (np.concatenate(x) for x in zip(*offered, strict=True))
+    order = np.argsort(span, kind="stable")
+    edge = np.concatenate([[0], np.cumsum(np.bincount(span, minlength=count))])
+    at, total = spread(order, edge, back)
+    skip = _skipped(np.repeat(key, np.diff(total)), place[at], left[at], right[at], threshold)
+    return K.row_sums(skip, total) > 0
+
+
+def _merged(v: Vocabulary, spaced: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: np.ndarray, rate: float, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the given spans one after another, and where each span's begin."""
+    size = ends - starts
     edge = np.concatenate([[0], np.cumsum(size)])
-    source = np.arange(edge[-1]) + np.repeat(starts[first] - edge[:-1], size)
+    if not len(starts):
+        return np.zeros(0, np.uint32), edge
+    source = np.arange(edge[-1]) + np.repeat(starts - edge[:-1], size)
     piece = spaced[source]
     at = np.flatnonzero(K.LEADING[piece])
     points = np.frombuffer(piece.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
     symbol = np.where(points == MARK, -1, v.char[np.where(points == 0x20, MARK, points)])
     point_edge = np.searchsorted(at, edge)
-    key = K.mix(variant[first] + K.U64(seed))
-    span, place, symbol = merge_spans(v, symbol, point_edge, key, rate)
+    span, place, symbol = merge_spans(v, symbol, point_edge, key, rate, offered)
     # unknown characters turn into their bytes
     where = point_edge[span] + place
     width = np.where(symbol >= 0, 1, np.append(at, len(piece))[where + 1] - at[where])
@@ -266,9 +304,7 @@ def encode(v: Vocabulary, column: pa.Array, keys: np.ndarray, rate: float, seed:
     ids = np.repeat(symbol, width)
     unknown = np.repeat(symbol < 0, width)
     ids[unknown] = v.byte[piece[(np.arange(total[-1]) - np.repeat(total[:-1] - at[where], width))[unknown]]]
-    span_edge = total[np.searchsorted(span, np.arange(len(first) + 1))]
-    ids, total = spread(ids.astype(np.uint32), span_edge, back)
-    return ids, total[before]
+    return ids.astype(np.uint32), total[np.searchsorted(span, np.arange(len(starts) + 1))]
 
 
 def decode(v: Vocabulary, ids: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

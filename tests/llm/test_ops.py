@@ -443,6 +443,24 @@ def test_encoding_of_odd_rows_doesnt_depend_on_partitions(odd, empty):
     assert Counter(r.text for r in back) == Counter(r.text or "" for r in odd.collect())
 
 
+def test_every_occurrence_of_a_word_is_drawn_anew(spark):
+    v = SP.vocabulary(PIECES)
+    texts, docs = pa.array(["internationalization the"] * 4000), np.arange(4000)
+    ids, edge = SP.encode(v, texts, docs, 0.3, 1, SP.VARIANTS)
+    found = [tuple(ids[edge[n] : edge[n + 1]].tolist()) for n in range(4000)]
+    assert len(set(found)) > 64
+    plain = tuple(SP.encode(v, texts.slice(0, 1), docs[:1], 0.0, 1, SP.VARIANTS)[0].tolist())
+    assert 0 < found.count(plain) < 4000
+    # a result that is shared equals one of its own
+    key = SP.K.mix(SP.K.mix(docs.view(np.uint64)) + SP.K.U64(0))
+    data = np.frombuffer(b" internationalization" * 4000, np.uint8)
+    starts = np.arange(4000) * 21
+    apart, at = SP._merged(v, data, starts, starts + 21, SP.K.mix(key + SP.K.U64(1)), 0.3)
+    assert [f[: at[n + 1] - at[n]] for n, f in enumerate(found)] == [tuple(apart[at[n] : at[n + 1]].tolist()) for n in range(4000)]
+    one = spark.createDataFrame([(n, "the") for n in range(4000)], "doc_id long, text string")
+    assert len({r.ids_crc32 for r in SP.encode_documents(one, PIECES).collect()}) > 1
+
+
 # --- kernels ------------------------------------------------------------------------------------------------------
 
 
