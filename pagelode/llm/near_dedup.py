@@ -1,17 +1,21 @@
 """Near-duplicate removal on top of SimHash: linked sets by fingerprints, decisions by shingle sets.
 
+Of those that stay no two have shingle sets of the similarity.
 A 64-bit fingerprint of five-word shingles differs in ten bits or so between texts whose shingle sets have a Jaccard
-similarity of 0.8, so one fingerprint and a small radius would miss many copies. Three fingerprints with different
-seeds are taken in one pass; texts that lie within the radius in any of them are linked by the BK-tree shards of
-the SimHash operator, and the links' components are candidate groups. Within a group, in order of id, a document is
-dropped if its shingle set has the similarity with one that is kept so far, else it is kept itself. Kept ones are
-found by their smallest hashes: two sets of similarity t share one of the first n - ceil(t n) + 1, so no pair is lost.
+similarity of 0.8, so fingerprints and a small radius find dense groups cheaply but miss pairs. So there are two steps.
 
-A group with over a thousandth of all rows is dealt over all partitions; the ones kept there then meet again.
+1. Three fingerprints with different seeds are taken in one pass; texts that lie within the radius in any of them are
+linked by the BK-tree shards of the SimHash operator, and the links' components are candidate groups. Within a group, in
+order of id, a document is dropped for the first kept one found similar, else it is kept itself. A group with over a
+thousandth of all rows is dealt over all partitions; the ones kept there then meet again.
+2. All similar pairs of those that are left are found exactly: two sets of similarity t share one of their first
+n - ceil(t n) + 1 hashes in any common order. Hashes that more than MOST_SHARED of these sets would meet in come last
+in the order, and sizes and places bound the overlap before sets are compared. Along the pairs, in order of id, a document
+goes if a smaller one that stays is similar.
 
 Defined cases. Fewer words than a shingle: the whole sequence is the only shingle. No words: all such texts are
-copies of each other. Null ids stay, as nothing tells which row to keep. Rows of one id are one document and stay
-or go together.
+copies of each other. Null ids stay, as nothing tells which row to keep. Rows of one id are one document, of the union
+of their shingles, and stay or go together.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pagelode.llm.scratch import materialize
 
 SHINGLE, RADIUS, SEEDS, SIMILARITY = 5, 7, (42, 43, 44), 0.8
 HOT_SHARE = 1000
+MOST_SHARED = 50
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -68,53 +73,158 @@ def shingle_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
 
 
 class Keeper:
-    """The sets kept so far in a group."""
+    """The sets kept so far in a group, and their ids."""
 
     def __init__(self, similarity: float) -> None:
-        self.similarity, self.sets, self.at, self.empty = similarity, [], {}, False
+        self.similarity, self.sets, self.ids, self.at, self.empty = similarity, [], [], {}, None
 
-    def copies(self, mine: np.ndarray) -> bool:
-        """Whether a kept set is similar; if none is, this one is kept."""
+    def copied(self, mine: np.ndarray, of: int) -> int | None:
+        """The id of a kept set that is similar; if none is, this one is kept."""
         n = len(mine)
         if not n:
-            known, self.empty = self.empty, True
+            known, self.empty = self.empty, of if self.empty is None else self.empty
             return known
-        head = mine[: n - int(np.ceil(self.similarity * n - 1e-9)) + 1].tolist()
+        head = mine[: prefix_size(n, self.similarity)].tolist()
         seen = set()
         for h in head:
             for k in self.at.get(h, ()):
                 if k not in seen:
                     seen.add(k)
-                    other = self.sets[k]
-                    if min(n, len(other)) >= self.similarity * max(n, len(other)):
-                        both = len(np.intersect1d(mine, other, assume_unique=True))
-                        if both >= self.similarity * (n + len(other) - both):
-                            return True
+                    if similar(mine, self.sets[k], self.similarity):
+                        return self.ids[k]
         for h in head:
             self.at.setdefault(h, []).append(len(self.sets))
         self.sets.append(mine)
+        self.ids.append(of)
+        return None
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
         return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
 
 
-def _kept(members: DataFrame, similarity: float, *keys: str) -> DataFrame:
-    """members (component, salt, id, hashes) without those that are similar to one before them under the same keys."""
+def _decided(members: DataFrame, similarity: float, *keys: str) -> DataFrame:
+    """members (component, salt, id, hashes) with the id before them under the same keys that they are similar to (by)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keeper = None, Keeper(similarity)
         for batch in batches:
             groups = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
-            keep = []
-            for group, data in zip(groups, batch.column("hashes").to_pylist(), strict=True):
+            by, held = [], []
+            for group, i, data in zip(groups, batch.column("id").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
                 if group != now:
                     now, keeper = group, Keeper(similarity)
-                keep.append(not keeper.copies(np.frombuffer(data, np.uint64)))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                by.append(keeper.copied(np.frombuffer(data, np.uint64), i))
+                held.append(data if by[-1] is None else None)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("component", "salt", "id")], pa.array(held, pa.binary()), pa.array(by, pa.int64())], names=["component", "salt", "id", "hashes", "by"])
+
+    return members.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(each, "component long, salt long, id long, hashes binary, by long")
+
+
+def set_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, hashes): the shingle set of each id."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch, "text", S.SLICE_BYTES):
+                held = [x.tobytes() for x in shingle_sets(part.column("text"), shingle)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(held, pa.binary())], names=["id", "hashes"])
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(np.frombuffer(b"".join(x), np.uint64)).tobytes() for x in batch.column("hashes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(held, pa.binary())], names=["id", "hashes"])
+
+    rows = materialize(_texts(docs, id_col, text_col).mapInArrow(each, "id long, hashes binary"), "sets")
+    often = materialize(rows.groupBy("id").count().where("count > 1").select("id"), "repeated")
+    if often.isEmpty():
+        return rows
+    many = rows.join(often, "id").groupBy("id").agg(F.collect_set("hashes").alias("hashes")).mapInArrow(united, rows.schema)
+    return materialize(rows.join(often, "id", "left_anti").unionByName(many), "sets")
+
+
+def prefixes(sets: DataFrame, similarity: float, late: np.ndarray) -> DataFrame:
+    """(hash, id, n, place): the first hashes of each set, those in late (sorted) coming after all others."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, sizes = [np.zeros(0, np.uint64)], []
+            for data in batch.column("hashes").to_pylist():
+                mine = np.frombuffer(data, np.uint64)
+                if len(late) and len(mine):
+                    spot = np.minimum(np.searchsorted(late, mine), len(late) - 1)
+                    is_late = late[spot] == mine
+                    mine = np.concatenate([mine[~is_late], mine[is_late]])
+                out.append(mine[: prefix_size(len(mine), similarity)] if len(mine) else mine)
+                sizes.append(len(mine))
+            count = np.array([len(x) for x in out[1:]], np.int64)
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            ids = np.repeat(batch.column("id").to_numpy(), count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(ids), pa.array(np.repeat(np.array(sizes, np.int64), count)), pa.array(place)], names=["hash", "id", "n", "place"])
+
+    return sets.mapInArrow(each, "hash long, id long, n long, place long")
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, similarity: float, late: np.ndarray, ordered: bool, shared: DataFrame | None = None) -> DataFrame:
+    """(a, b): all similar pairs of a set of left and one of right; ordered: with a > b only."""
+    a, b = (prefixes(x, similarity, late).toDF("hash", k, f"n{k}", f"p{k}") for x, k in ((left, "a"), (right, "b")))
+    if shared is not None:
+        a, b = a.join(shared, "hash", "left_semi"), b.join(shared, "hash", "left_semi")
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6)
+    may = (F.col("a") > F.col("b") if ordered else F.lit(True)) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6)
+    # the first hash in common in the one order: what follows it bounds the overlap
+    first = a.join(b, "hash").where(may).groupBy("a", "b").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = materialize(first.where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least).select("a", "b"), "candidates")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in both], pa.bool_()))
+
+    told = pairs.join(left.toDF("a", "ha"), "a").join(right.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
+    return materialize(told.mapInArrow(each, "a long, b long"), "pairs")
+
+
+def shared_hashes(sets: DataFrame, similarity: float) -> tuple[DataFrame, np.ndarray]:
+    """(hash) of the prefixes that several sets have, and the hashes that come late in the order."""
+    late = np.zeros(0, np.uint64)
+    while True:
+        often = materialize(prefixes(sets, similarity, late).groupBy("hash").count().where("count > 1"), "shared")
+        many = np.array([r.hash for r in often.where(F.col("count") > MOST_SHARED).collect()], np.int64).view(np.uint64)
+        new = np.setdiff1d(many, late)
+        if not len(new):
+            return often.select("hash"), late
+        late = np.union1d(late, new)
 
-    return members.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(each, members.schema)
+
+def _gone(pairs: DataFrame) -> DataFrame:
+    """(id) that go along similar pairs (a > b), in order of id: those with a smaller one that stays."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, gone = None, set()
+        for batch in batches:
+            out = []
+            for component, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if component != now:
+                    now, gone = component, set()
+                if a not in gone and b not in gone:
+                    gone.add(a)
+                    out.append(a)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
+
+    told = pairs.join(connected_components(pairs).withColumnRenamed("node", "a"), "a").select("component", "a", "b")
+    return materialize(told.repartition("component").sortWithinPartitions("component", "a", "b").mapInArrow(each, "id long"), "gone")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(id) of the documents to drop: each is a near copy of one that stays, or of one dropped for such a one."""
+    """(id) of the documents to drop: each is a near copy of one that stays."""
     spark = docs.sparkSession
     rows = materialize(fingerprint_rows(docs, id_col, text_col, shingle, seeds), "fingerprints")
     total = rows.count()
@@ -136,15 +246,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     salt = F.when(F.col("component").isin(hot), F.pmod(F.xxhash64("id"), F.lit(salts)) + 1).otherwise(F.lit(0))
     groups = groups.select(F.col("node").alias("id"), "component", salt.alias("salt"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in K.slices(batch, "text", S.SLICE_BYTES):
-                held = [x.tobytes() for x in shingle_sets(part.column("text"), shingle)]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("component", "salt", "id")], pa.array(held, pa.binary())], names=["component", "salt", "id", "hashes"])
-
-    members = _texts(docs, id_col, text_col).join(groups, "id").select("component", "salt", "id", "text").mapInArrow(sets, "component long, salt long, id long, hashes binary")
-    first = materialize(_kept(members, similarity, "component", "salt"), "kept")
+    sets = set_rows(docs, id_col, text_col, shingle)
+    groups = groups.distinct()
+    first = materialize(_decided(sets.join(groups, "id").select("component", "salt", "id", "hashes"), similarity, "component", "salt"), "decided")
+    lost = first.where("by is not null").select("id", "by")
     if hot:
-        again = _kept(first.where("salt > 0"), similarity, "component")
-        first = first.where("salt = 0").unionByName(again)
-    return groups.select("id").join(first.select("id").distinct(), "id", "left_anti")
+        again = materialize(_decided(first.where("salt > 0 and by is null").drop("by"), similarity, "component"), "decided")
+        lost = lost.unionByName(again.where("by is not null").select("id", "by"))
+    lost = materialize(lost, "lost", total)
+    left = sets.join(lost, "id", "left_anti")
+    shared, late = shared_hashes(left, similarity)
+    pairs = similar_pairs(left, left, similarity, late, True, shared)
+    gone = _gone(pairs)
+    return lost.select("id").unionByName(gone).distinct()

@@ -402,6 +402,36 @@ def test_near_copies_go_and_other_texts_stay(spark, odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def brute_near(sets):
+    """All similar pairs, and what goes in order of id."""
+    pairs = {(a, b) for a in sets for b in sets if a > b and near_dedup.similar(sets[a], sets[b], 0.8)}
+    return pairs
+
+
+def check_near(found, sets):
+    pairs = brute_near(sets)
+    kept = set(sets) - found
+    assert not [p for p in pairs if p[0] in kept and p[1] in kept]
+    assert all(any((max(i, k), min(i, k)) in pairs for k in kept) for i in found)
+    return pairs
+
+
+def test_near_copies_at_every_similarity_are_found(spark):
+    rng = np.random.default_rng(13)
+    rows, line = [], "this line is common to every one of these documents and says nothing"
+    for n in range(60):
+        words = [f"t{x}" for x in rng.integers(0, 50_000, 300)]
+        rows.append((n, " ".join(words) + " " + line))
+        for k in rng.choice(300, 4 + n % 6, replace=False):
+            words[k] = "changed"
+        rows.append((1000 + n, " ".join(words) + " " + line))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = dict(zip([i for i, _ in rows], near_dedup.shingle_sets(pa.array([t for _, t in rows]), 5), strict=True))
+    pairs = check_near({r.id for r in near_dedup.near_duplicates(docs).collect()}, sets)
+    both = [len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in pairs]
+    assert len(both) > 20 and min(both) < 0.83 and max(both) > 0.85
+
+
 # --- 10 -----------------------------------------------------------------------------------------------------------
 
 
