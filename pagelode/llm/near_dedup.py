@@ -1,8 +1,8 @@
 """Near-duplicate removal on top of SimHash: linked sets by fingerprints, decisions by shingle sets.
 
-Of those that stay no two have shingle sets of the similarity.
+A document is dropped if its shingle set has the similarity with one that stays, and of those that stay no two have it.
 A 64-bit fingerprint of five-word shingles differs in ten bits or so between texts whose shingle sets have a Jaccard
-similarity of 0.8, so fingerprints and a small radius find dense groups cheaply but miss pairs. So there are two steps.
+similarity of 0.8, so fingerprints and a small radius find dense groups cheaply but miss pairs. So there are three steps.
 
 1. Three fingerprints with different seeds are taken in one pass; texts that lie within the radius in any of them are
 linked by the BK-tree shards of the SimHash operator, and the links' components are candidate groups. Within a group, in
@@ -12,6 +12,9 @@ thousandth of all rows is dealt over all partitions; the ones kept there then me
 n - ceil(t n) + 1 hashes in any common order. Hashes that more than MOST_SHARED of these sets would meet in come last
 in the order, and sizes and places bound the overlap before sets are compared. Along the pairs, in order of id, a document
 goes if a smaller one that stays is similar.
+3. Documents that went for one that has gone itself are compared with all that stay, and those without a similar one come
+back, in order of id and unless similar to one that came back before. So neither the groups' sizes nor the number of
+partitions leaves a document without a kept copy.
 
 Defined cases. Fewer words than a shingle: the whole sequence is the only shingle. No words: all such texts are
 copies of each other. Null ids stay, as nothing tells which row to keep. Rows of one id are one document, of the union
@@ -258,4 +261,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared, late = shared_hashes(left, similarity)
     pairs = similar_pairs(left, left, similarity, late, True, shared)
     gone = _gone(pairs)
-    return lost.select("id").unionByName(gone).distinct()
+    # those that went for one that has gone
+    orphans = materialize(lost.join(lost.unionByName(gone.select("id", F.lit(None).cast("long").alias("by"))).select(F.col("id").alias("by")).distinct(), "by", "left_semi").select("id"), "orphans")
+    back = orphans
+    if not orphans.isEmpty():
+        asked = sets.join(orphans, "id", "left_semi")
+        had = similar_pairs(asked, left.join(gone, "id", "left_anti"), similarity, late, False).select(F.col("a").alias("id")).distinct()
+        back = materialize(orphans.join(had, "id", "left_anti"), "back")
+        back = back.join(_gone(similar_pairs(sets.join(back, "id", "left_semi"), sets.join(back, "id", "left_semi"), similarity, late, True)), "id", "left_anti")
+    return lost.select("id").unionByName(gone).join(back, "id", "left_anti").distinct()

@@ -432,6 +432,24 @@ def test_near_copies_at_every_similarity_are_found(spark):
     assert len(both) > 20 and min(both) < 0.83 and max(both) > 0.85
 
 
+@pytest.mark.parametrize("partitions", [2, 7])
+def test_large_groups_follow_the_rule_of_small_ones(spark, monkeypatch, partitions):
+    rng = np.random.default_rng(14)
+    words, rows = [f"t{x}" for x in rng.integers(0, 50_000, 200)], []
+    for n, i in enumerate(rng.permutation(120).tolist()):  # a chain: each is similar to its neighbours only
+        words[(n * 37) % 200] = f"new{n}"
+        words[(n * 53) % 200] = f"more{n}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(near_dedup, "HOT_SHARE", 1_000_000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        found = {r.id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    check_near(found, dict(zip([i for i, _ in rows], near_dedup.shingle_sets(pa.array([t for _, t in rows]), 5), strict=True)))
+
+
 # --- 10 -----------------------------------------------------------------------------------------------------------
 
 
