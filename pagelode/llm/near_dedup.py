@@ -38,6 +38,7 @@ from pagelode.llm.scratch import materialize
 SHINGLE, RADIUS, SEEDS, SIMILARITY = 5, 7, (42, 43, 44), 0.8
 HOT_SHARE = 1000
 MOST_SHARED = 50
+ROWS_AT_ONCE = 1000
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -153,11 +154,18 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     return materialize(rows.join(often, "id", "left_anti").unionByName(many), "sets")
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, as what they turn into is held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def prefixes(sets: DataFrame, similarity: float, late: np.ndarray) -> DataFrame:
     """(hash, id, n, place): the first hashes of each set, those in late (sorted) coming after all others."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             out, sizes = [np.zeros(0, np.uint64)], []
             for data in batch.column("hashes").to_pylist():
                 mine = np.frombuffer(data, np.uint64)
@@ -187,11 +195,13 @@ def similar_pairs(left: DataFrame, right: DataFrame, similarity: float, late: np
     pairs = materialize(first.where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least).select("a", "b"), "candidates")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             both = zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True)
             yield batch.select(["a", "b"]).filter(pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in both], pa.bool_()))
 
-    told = pairs.join(left.toDF("a", "ha"), "a").join(right.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
+    # only the sets in question are dealt out
+    held = [materialize(x.join(materialize(pairs.select(F.col(k).alias("id")).distinct(), "asked"), "id", "left_semi"), "held").toDF(k, f"h{k}") for x, k in ((left, "a"), (right, "b"))]
+    told = pairs.join(held[0], "a").join(held[1], "b").select("a", "b", "ha", "hb")
     return materialize(told.mapInArrow(each, "a long, b long"), "pairs")
 
 
@@ -257,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         again = materialize(_decided(first.where("salt > 0 and by is null").drop("by"), similarity, "component"), "decided")
         lost = lost.unionByName(again.where("by is not null").select("id", "by"))
     lost = materialize(lost, "lost", total)
-    left = sets.join(lost, "id", "left_anti")
+    left = materialize(sets.join(lost, "id", "left_anti"), "left")
     shared, late = shared_hashes(left, similarity)
     pairs = similar_pairs(left, left, similarity, late, True, shared)
     gone = _gone(pairs)
