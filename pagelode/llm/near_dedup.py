@@ -10,7 +10,7 @@ order of id, a document is dropped for the first kept one found similar, else it
 thousandth of all rows is dealt over all partitions; the ones kept there then meet again.
 2. All similar pairs of those that are left are found exactly: two sets of similarity t share one of their first
 n - ceil(t n) + 1 hashes in any common order. Hashes that more than MOST_SHARED of these sets would meet in come last
-in the order, and sizes and places bound the overlap before sets are compared. Along the pairs, in order of id, a document
+in the order, and sizes and the number of hashes shared bound the overlap before sets are compared. Along the pairs, in order of id, a document
 goes if a smaller one that stays is similar.
 3. Documents that went for one that has gone itself are compared with all that stay, and those without a similar one come
 back, in order of id and unless similar to one that came back before. So neither the groups' sizes nor the number of
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pagelode.llm import kernels as K
 from pagelode.llm import simhash as S
 from pagelode.llm.components import connected_components
-from pagelode.llm.scratch import materialize
+from pagelode.llm.scratch import drop_path, materialize
 
 SHINGLE, RADIUS, SEEDS, SIMILARITY = 5, 7, (42, 43, 44), 0.8
 HOT_SHARE = 1000
@@ -154,6 +154,13 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     return materialize(rows.join(often, "id", "left_anti").unionByName(many), "sets")
 
 
+def _drop(*tables: DataFrame) -> None:
+    """Remove tables that were materialized and that nothing reads any more."""
+    for table in tables:
+        for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            drop_path(table.sparkSession, path)
+
+
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in parts, as what they turn into is held at once."""
     for batch in batches:
@@ -162,7 +169,7 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefixes(sets: DataFrame, similarity: float, late: np.ndarray) -> DataFrame:
-    """(hash, id, n, place): the first hashes of each set, those in late (sorted) coming after all others."""
+    """(hash, id, n): the first hashes of each set, those in late (sorted) coming after all others."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
@@ -176,23 +183,23 @@ def prefixes(sets: DataFrame, similarity: float, late: np.ndarray) -> DataFrame:
                 out.append(mine[: prefix_size(len(mine), similarity)] if len(mine) else mine)
                 sizes.append(len(mine))
             count = np.array([len(x) for x in out[1:]], np.int64)
-            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             ids = np.repeat(batch.column("id").to_numpy(), count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(ids), pa.array(np.repeat(np.array(sizes, np.int64), count)), pa.array(place)], names=["hash", "id", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(ids), pa.array(np.repeat(np.array(sizes, np.int64), count))], names=["hash", "id", "n"])
 
-    return sets.mapInArrow(each, "hash long, id long, n long, place long")
+    return sets.mapInArrow(each, "hash long, id long, n long")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, similarity: float, late: np.ndarray, ordered: bool, shared: DataFrame | None = None) -> DataFrame:
     """(a, b): all similar pairs of a set of left and one of right; ordered: with a > b only."""
-    a, b = (prefixes(x, similarity, late).toDF("hash", k, f"n{k}", f"p{k}") for x, k in ((left, "a"), (right, "b")))
+    a, b = (prefixes(x, similarity, late).toDF("hash", k, f"n{k}") for x, k in ((left, "a"), (right, "b")))
     if shared is not None:
         a, b = a.join(shared, "hash", "left_semi"), b.join(shared, "hash", "left_semi")
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6)
     may = (F.col("a") > F.col("b") if ordered else F.lit(True)) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6)
-    # the first hash in common in the one order: what follows it bounds the overlap
-    first = a.join(b, "hash").where(may).groupBy("a", "b").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    pairs = materialize(first.where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least).select("a", "b"), "candidates")
+    # beyond the prefix that ends first in the one order, at most the rest of its set is in common
+    rest = F.greatest(*[F.ceil(F.col(n) * similarity - 1e-9) for n in ("na", "nb")]) - 1
+    shared_count = a.join(b, "hash").where(may).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = materialize(shared_count.where(F.col("c") + rest >= least).select("a", "b"), "candidates")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
@@ -202,7 +209,9 @@ def similar_pairs(left: DataFrame, right: DataFrame, similarity: float, late: np
     # only the sets in question are dealt out
     held = [materialize(x.join(materialize(pairs.select(F.col(k).alias("id")).distinct(), "asked"), "id", "left_semi"), "held").toDF(k, f"h{k}") for x, k in ((left, "a"), (right, "b"))]
     told = pairs.join(held[0], "a").join(held[1], "b").select("a", "b", "ha", "hb")
-    return materialize(told.mapInArrow(each, "a long, b long"), "pairs")
+    found = materialize(told.mapInArrow(each, "a long, b long"), "pairs")
+    _drop(*held)
+    return found
 
 
 def shared_hashes(sets: DataFrame, similarity: float) -> tuple[DataFrame, np.ndarray]:
@@ -260,7 +269,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = groups.select(F.col("node").alias("id"), "component", salt.alias("salt"))
 
     sets = set_rows(docs, id_col, text_col, shingle)
-    groups = groups.distinct()
     first = materialize(_decided(sets.join(groups, "id").select("component", "salt", "id", "hashes"), similarity, "component", "salt"), "decided")
     lost = first.where("by is not null").select("id", "by")
     if hot:
@@ -279,4 +287,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         had = similar_pairs(asked, left.join(gone, "id", "left_anti"), similarity, late, False).select(F.col("a").alias("id")).distinct()
         back = materialize(orphans.join(had, "id", "left_anti"), "back")
         back = back.join(_gone(similar_pairs(sets.join(back, "id", "left_semi"), sets.join(back, "id", "left_semi"), similarity, late, True)), "id", "left_anti")
+        back = materialize(back, "back")
+    _drop(left, sets, first)
     return lost.select("id").unionByName(gone).join(back, "id", "left_anti").distinct()
