@@ -58,8 +58,10 @@ def xxh64_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     view = K.lanes(data)
     size = ends - starts
     out = np.zeros(len(starts), K.U64)
+    if not len(size):
+        return out
     order = np.argsort(size, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(size[order]) > 0])) if len(order) else []
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(size[order]) > 0]))
     seed64 = K.U64(seed)
     with np.errstate(over="ignore"):
         for at, to in zip(edges, [*edges[1:], len(order)], strict=True):

@@ -376,6 +376,13 @@ def test_simhash_components_equal_brute_force(spark, docs, odd, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
+def test_documents_without_words_may_fill_a_partition(spark):
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate([None, "", " ", "\n\t"])], "doc_id long, text string").repartition(4)
+    found = simhash.simhash_components(rows).collect()
+    assert sorted((r.id, r.fp, r.component_id) for r in found) == [(n, 0, 0) for n in range(4)]
+    assert {r.id for r in near_dedup.near_duplicates(rows).collect()} == {1, 2, 3}
+
+
 def test_bk_trees_find_every_link():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
