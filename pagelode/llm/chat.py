@@ -74,7 +74,7 @@ def encode_turns(turns: DataFrame, vocabulary: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(size, pa.int64()), pa.array(first, pa.int64())], names=[*part.schema.names, "ids", "n_tokens", "loss_from"])
 
     turns = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return turns.mapInArrow(each, "conv_id long, turn long, role string, text string, ids binary, n_tokens long, loss_from long")
+    return turns.mapInArrow(K.frugal(each), "conv_id long, turn long, role string, text string, ids binary, n_tokens long, loss_from long")
 
 
 class Reader:
@@ -123,7 +123,7 @@ def assemble(turns: DataFrame, vocabulary: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(order, pa.int64()), lists, pa.array(start), pa.array(start + first), pa.array(start + size)], names=["conv_id", "turn", "place", "ids", "token_start", "loss_start", "loss_end"])
 
-    return ordered(encode_turns(turns, vocabulary)).mapInArrow(each, "conv_id long, turn long, place long, ids array<int>, token_start long, loss_start long, loss_end long")
+    return ordered(encode_turns(turns, vocabulary)).mapInArrow(K.frugal(each), "conv_id long, turn long, place long, ids array<int>, token_start long, loss_start long, loss_end long")
 
 
 def digests(turns: DataFrame, vocabulary: str) -> DataFrame:
@@ -158,4 +158,4 @@ def digests(turns: DataFrame, vocabulary: str) -> DataFrame:
         if state is not None:
             yield done()
 
-    return assemble(turns, vocabulary).mapInArrow(each, schema)
+    return assemble(turns, vocabulary).mapInArrow(K.frugal(each), schema)

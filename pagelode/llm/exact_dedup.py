@@ -103,7 +103,7 @@ def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sha = [hashlib.sha256(view[a:b]).digest() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.diff(offsets)), pa.array(sha, pa.binary())], names=["id", *_KEY, "sha"])
 
-    return _normalised(docs, id_col, text_col).mapInArrow(each, "id long, h1 long, h2 long, n long, sha binary")
+    return _normalised(docs, id_col, text_col).mapInArrow(K.frugal(each), "id long, h1 long, h2 long, n long, sha binary")
 
 
 def repeated_bitmap(groups: DataFrame, bits: int) -> np.ndarray:
@@ -165,10 +165,10 @@ def collided(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame, row
         if run is not None and (differs or run[3]):
             yield done()
 
-    dealt = _normalised(docs, id_col, text_col).mapInArrow(texts, "h1 long, h2 long, n long, salt int, text binary").repartition(*_KEY, "salt").sortWithinPartitions(*_KEY, "salt")
-    firsts = materialize(dealt.mapInArrow(compare, "h1 long, h2 long, n long, text binary, differs boolean"), "compared")
+    dealt = _normalised(docs, id_col, text_col).mapInArrow(K.frugal(texts), "h1 long, h2 long, n long, salt int, text binary").repartition(*_KEY, "salt").sortWithinPartitions(*_KEY, "salt")
+    firsts = materialize(dealt.mapInArrow(K.frugal(compare), "h1 long, h2 long, n long, text binary, differs boolean"), "compared")
     among = firsts.where("text is not null").select(*_KEY, F.lit(0).alias("salt"), "text").repartition(*_KEY).sortWithinPartitions(*_KEY)
-    again = among.mapInArrow(compare, "h1 long, h2 long, n long, text binary, differs boolean")
+    again = among.mapInArrow(K.frugal(compare), "h1 long, h2 long, n long, text binary, differs boolean")
     return firsts.where("differs").select(*_KEY).unionByName(again.where("differs").select(*_KEY)).distinct()
 
 

@@ -4,21 +4,29 @@ A document is dropped if its shingle set has the similarity with one that stays,
 A 64-bit fingerprint of five-word shingles differs in ten bits or so between texts whose shingle sets have a Jaccard
 similarity of 0.8, so fingerprints and a small radius find dense groups cheaply but miss pairs. So there are three steps.
 
-1. Three fingerprints with different seeds are taken in one pass; texts that lie within the radius in any of them are
-linked by the BK-tree shards of the SimHash operator, and the links' components are candidate groups. Within a group, in
-order of id, a document is dropped for the first kept one found similar, else it is kept itself. A group with over a
-thousandth of all rows is dealt over all partitions; the ones kept there then meet again.
+1. One pass over the texts takes each one's shingle set and fingerprint. The BK-tree shards of the SimHash operator link
+the fingerprints, and linked components are candidate groups. Every group, whatever its size, is dealt over SALTS parts
+by id; within a part, in order of id, a document is dropped for the first kept one found similar, else it is kept. The
+ones kept in a group's parts then meet once more.
 2. All similar pairs of those that are left are found exactly: two sets of similarity t share one of their first
-n - ceil(t n) + 1 hashes in any common order. Hashes that more than MOST_SHARED of these sets would meet in come last
-in the order, and sizes and the number of hashes shared bound the overlap before sets are compared. Along the pairs, in order of id, a document
-goes if a smaller one that stays is similar.
+n - ceil(t n) + 1 hashes in any common order. A hash that more than MOST_SHARED sets meet in is put off: it comes last in
+the order, and only the sets that met in it are asked again, until no new such hash turns up. Sizes, then signatures
+(the parity of the hashes in each of n cells or more: two of them can't differ in more cells than the sets differ in
+hashes) rule pairs out before sets are compared. Along the pairs, in order of id, a document goes if a smaller one that
+stays is similar.
 3. Documents that went for one that has gone itself are compared with all that stay, and those without a similar one come
-back, in order of id and unless similar to one that came back before. So neither the groups' sizes nor the number of
-partitions leaves a document without a kept copy.
+back, in order of id and unless similar to one that came back before. So no document goes without a kept copy.
+
+None of this depends on the number of partitions or on the size of the corpus.
+
+Scale. The sets are written once (8 bytes a word); what is shuffled is a fifth of them as (hash, id, size), the members of
+groups, and the sets of pairs that the signatures leave. Bitmaps are bounded (bits.py). Quadratic work remains only among
+sets of which four fifths are widely shared hashes, which no group of fingerprints united and which differ nonetheless.
 
 Defined cases. Fewer words than a shingle: the whole sequence is the only shingle. No words: all such texts are
 copies of each other. Null ids stay, as nothing tells which row to keep. Rows of one id are one document, of the union
-of their shingles, and stay or go together.
+of their shingles, and stay or go together. Ties cannot arise, as the order is that of distinct ids. Other columns of docs
+aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,48 +40,134 @@ from pyspark.sql import functions as F
 
 from pagelode.llm import kernels as K
 from pagelode.llm import simhash as S
+from pagelode.llm.bits import Bits, semi
 from pagelode.llm.components import connected_components
-from pagelode.llm.scratch import drop_path, materialize
-
-SHINGLE, RADIUS, SEEDS, SIMILARITY = 5, 7, (42, 43, 44), 0.8
-HOT_SHARE = 1000
-MOST_SHARED = 50
+from pagelode.llm.scratch import drop_table, materialize
+
+SHINGLE, RADIUS, SIMILARITY = 5, S.RADIUS, 0.8
+#: Parts that a group is dealt over.
+SALTS = 64
+#: Sets that may meet in a hash without its being put off.
+MOST_SHARED = 64
+SLICE_BYTES = 2 << 20
 ROWS_AT_ONCE = 1000
+_FLUSH = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+SETS = "id long, fp long, n int, signature binary, hashes binary"
+
+
+# --- sets ---------------------------------------------------------------------------------------------------------
+
+
+def shingle_hashes(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles, repeats included, and how many each text has."""
+    data, offsets = K.text_buffer(column)
+    data = K.LOWER[data]
+    starts, ends, before = K.word_spans(data, offsets)
+    word = K.hash_spans(data, starts, ends)[0]
+    first, row = K.window_rows(before, shingle)
+    rolled = K.rolling(word, shingle, _BASE)[first]
+    words = np.diff(before)
+    count = np.maximum(words - shingle + 1, 0)
+    for size in range(1, shingle):  # texts of fewer words
+        short = np.flatnonzero(words == size)
+        if len(short):
+            at = np.cumsum(count)[short]
+            total = np.zeros(len(short), K.U64)
+            for k in range(size):
+                total = total * K.U64(_BASE) + word[before[short] + k]
+            rolled = np.insert(rolled, at, K.mix(total))
+            count[short] = 1
+    return rolled, count
+
+
+def shingle_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, in order."""
+    rolled, count = shingle_hashes(column, shingle)
+    edge = np.concatenate([[0], np.cumsum(count)])
+    return [_distinct(rolled[a:b]) for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    hashes = np.sort(hashes)
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    return hashes if new.all() else hashes[new]
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """For each of n cells or more (a power of two), whether an odd number of the hashes falls there."""
+    size = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    odd = np.bincount((hashes & K.U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
 
+def cells_apart(a: bytes, b: bytes) -> int:
+    """In how many cells two signatures differ; the larger is folded to the size of the smaller."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    p, q = len(a), len(b)
+    while p > q:
+        p //= 2
+        x = (x >> (8 * p)) ^ (x & ((1 << (8 * p)) - 1))
+    while q > p:
+        q //= 2
+        y = (y >> (8 * q)) ^ (y & ((1 << (8 * q)) - 1))
+    return (x ^ y).bit_count()
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
 
+def prefix_size(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
 
-def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds: tuple[int, ...]) -> DataFrame:
-    """(id, fp0, fp1, ...): each row's fingerprint for each seed."""
-    names = [f"fp{n}" for n in range(len(seeds))]
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have the similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    both = int(np.count_nonzero(both[1:] == both[:-1]))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def set_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, fp, n, signature, hashes): fingerprint and shingle set of each id, written."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.slices(batch, "text", S.SLICE_BYTES):
-                fps = [pa.array(S.fingerprints_of(part.column("text"), shingle, seed).view(np.int64)) for seed in seeds]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *fps], names=["id", *names])
+            for part in K.slices(batch, "text", SLICE_BYTES):
+                rolled, count = shingle_hashes(part.column("text"), shingle)
+                edge = np.concatenate([[0], np.cumsum(count)])
+                held = [_distinct(rolled[a:b]) for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
+                yield _set_batch(part.column("id"), S.majority_bits(rolled, count), held)
 
-    return _texts(docs, id_col, text_col).mapInArrow(each, "id long, " + ", ".join(f"{n} long" for n in names))
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [_distinct(np.frombuffer(b"".join(x), np.uint64)) for x in batch.column("hashes").to_pylist()]
+            yield _set_batch(batch.column("id"), batch.column("fp").to_numpy(), held)
 
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    rows = materialize(texts.mapInArrow(K.frugal(each), SETS), "sets")
+    often = materialize(rows.groupBy("id").count().where("count > 1").select("id"), "repeated")
+    if often.isEmpty():
+        return rows
+    many = rows.join(often, "id").groupBy("id").agg(F.min("fp").alias("fp"), F.collect_set("hashes").alias("hashes")).mapInArrow(united, SETS)
+    one = materialize(rows.join(often, "id", "left_anti").select(*rows.columns).unionByName(many), "sets")
+    drop_table(rows)
+    return one
+
+
+def _set_batch(ids: pa.Array, fps: np.ndarray, held: list[np.ndarray]) -> pa.RecordBatch:
+    columns = [ids, pa.array(fps.view(np.int64)), pa.array([len(x) for x in held], pa.int32()), pa.array([signature(x) for x in held], pa.binary()), pa.array([x.tobytes() for x in held], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "fp", "n", "signature", "hashes"])
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, as what they turn into is held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
 
-def shingle_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
-    """The distinct shingle hashes of each text, in order."""
-    data, offsets = K.text_buffer(column)
-    starts, ends, before = K.word_spans(K.LOWER[data], offsets)
-    word = K.hash_spans(K.LOWER[data], starts, ends)[0]
-    first, row = K.window_rows(before, shingle)
-    rolled = K.rolling(word, shingle, 0x9E3779B97F4A7C15)[first]
-    edge = np.searchsorted(row, np.arange(len(before)))
-    out = []
-    for n in range(len(before) - 1):
-        mine = rolled[edge[n] : edge[n + 1]]
-        if not len(mine) and before[n + 1] > before[n]:
-            few = word[before[n] : before[n + 1]]
-            mine = K.rolling(few, len(few), 0x9E3779B97F4A7C15)
-        out.append(np.unique(mine))
-    return out
+
+# --- groups of fingerprints ---------------------------------------------------------------------------------------
 
 
 class Keeper:
@@ -103,23 +197,12 @@ class Keeper:
         return None
 
 
-def prefix_size(n: int, similarity: float) -> int:
-    return n - int(np.ceil(similarity * n - 1e-9)) + 1
-
-
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both)
-
-
 def _decided(members: DataFrame, similarity: float, *keys: str) -> DataFrame:
     """members (component, salt, id, hashes) with the id before them under the same keys that they are similar to (by)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keeper = None, Keeper(similarity)
-        for batch in batches:
+        for batch in _small(batches):
             groups = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
             by, held = [], []
             for group, i, data in zip(groups, batch.column("id").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
@@ -129,105 +212,310 @@ def _decided(members: DataFrame, similarity: float, *keys: str) -> DataFrame:
                 held.append(data if by[-1] is None else None)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("component", "salt", "id")], pa.array(held, pa.binary()), pa.array(by, pa.int64())], names=["component", "salt", "id", "hashes", "by"])
 
-    return members.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(each, "component long, salt long, id long, hashes binary, by long")
-
+    return members.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(K.frugal(each), "component long, salt int, id long, hashes binary, by long")
+
+
+def grouped_copies(rows: DataFrame, radius: int, similarity: float, total: int) -> DataFrame:
+    """(id, by): documents of linked fingerprints that are similar to a smaller one (by) of their group, written."""
+    known = materialize(S.linked_rows(rows.select("id", "fp"), radius).select("id", F.col("component_id").alias("component")), "grouped", total)
+    groups = known.join(known.where("id <> component").select("component").distinct(), "component", "left_semi")
+    groups = materialize(groups.select("id", "component", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")), "groups", total)
+    members = semi(rows.select("id", "hashes"), groups, "members")
+    first = materialize(_decided(members.join(groups, "id").select("component", "salt", "id", "hashes"), similarity, "component", "salt"), "decided")
+    again = materialize(_decided(first.where("by is null").drop("by"), similarity, "component").where("by is not null").select("id", "by"), "decided")
+    lost = materialize(first.where("by is not null").select("id", "by").unionByName(again), "lost", total)
+    drop_table(known, groups, members, first, again)
+    return lost
+
+
+# --- all similar pairs --------------------------------------------------------------------------------------------
+
+
+class Order:
+    """The common order of hashes: by value, those put off behind all others."""
+
+    def __init__(self, late: list[Bits] | None = None) -> None:
+        self.late = late or []
+
+    def put_off(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(hashes), bool)
+        for bits in self.late:
+            out |= bits.has(hashes)
+        return out
+
+    def prefixes(self, column: pa.Array, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The first hashes of all sets, how many each set gave, whether they are put off, and the sets' sizes."""
+        held = [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+        size = np.array([len(x) for x in held], np.int64)
+        take = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+        if not self.late:
+            firsts = np.concatenate([*[x[:k] for x, k in zip(held, take.tolist(), strict=True)], np.zeros(0, np.uint64)])
+            return firsts, take, np.zeros(len(firsts), bool), size
+        hashes = np.concatenate([*held, np.zeros(0, np.uint64)])
+        off = self.put_off(hashes)
+        row = np.repeat(np.arange(len(size)), size)
+        order = np.argsort(2 * row + off, kind="stable")
+        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        mine = order[np.arange(len(hashes)) - np.repeat(begin, size) < np.repeat(take, size)]
+        return hashes[mine], take, off[mine], size
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin, and how long they are."""
+    lead = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return lead, np.diff(np.append(lead, len(keys)))
+
+
+def prefix_rows(rows: DataFrame, similarity: float, order: Order, lost: Bits | None = None, among: Bits | None = None) -> DataFrame:
+    """(hash, late, id, n): the first hashes of the sets of rows (id, hashes).
+
+    lost: ids to leave out. among: only hashes that may be members. Of a hash that isn't put off, a task needn't tell more
+    than MOST_SHARED + 1 rows at a time, as then it will be.
+    """
+
+    def told(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        if among is None:
+            at = np.argsort(columns[0], kind="stable")
+            lead, size = _runs(columns[0][at])
+            nth = np.arange(len(at)) - np.repeat(lead, size)
+            some = np.sort(at[(nth <= MOST_SHARED) | columns[1][at]])
+            columns = [x[some] for x in columns]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3].astype(np.int32))], names=["hash", "late", "id", "n"])
 
-def set_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, hashes): the shingle set of each id."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in _small(batches):
+            if lost is not None:
+                batch = batch.filter(pa.array(~lost.has(batch.column("id").to_numpy())))
+            hashes, take, late, size = order.prefixes(batch.column("hashes"), similarity)
+            ids, size = np.repeat(batch.column("id").to_numpy(), take), np.repeat(size, take)
+            if among is not None:
+                some = among.has(hashes)
+                hashes, late, ids, size = hashes[some], late[some], ids[some], size[some]
+            if len(hashes):
+                held.append((hashes, late, ids, size))
+                count += len(hashes)
+            if count >= _FLUSH:
+                yield told(held)
+                held, count = [], 0
+        if held:
+            yield told(held)
+
+    return rows.select("id", "hashes").mapInArrow(K.frugal(each), "hash long, late boolean, id long, n int")
+
+
+def _pairs_in_runs(ids: np.ndarray, n: np.ndarray, lead: np.ndarray, size: np.ndarray, similarity: float, side: np.ndarray | None) -> Iterator[np.ndarray]:
+    """(pairs, 2): larger and smaller id of each two rows of a run whose sizes allow the similarity; side: or one of either side."""
+
+    def fit(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6) & (ids[i] != ids[j])
+        if side is None:
+            i, j = i[ok], j[ok]
+            return np.stack([np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])], axis=1)
+        ok &= side[i] != side[j]
+        i, j = i[ok], j[ok]
+        return np.stack([np.where(side[i], ids[i], ids[j]), np.where(side[i], ids[j], ids[i])], axis=1)
+
+    for s in np.unique(size[size > 1]).tolist():
+        at = lead[size == s]
+        if s <= 256:
+            i, j = np.triu_indices(s, 1)
+            for k in range(0, len(at), max(1, (1 << 20) // len(i))):
+                some = at[k : k + max(1, (1 << 20) // len(i)), None]
+                yield fit((some + i).ravel(), (some + j).ravel())
+        else:
+            for start in at.tolist():
+                for k in range(1, s):
+                    yield fit(np.full(k, start + k), start + np.arange(k))
+
+
+def meetings(prefixes: DataFrame, similarity: float, sides: bool = False) -> DataFrame:
+    """(put_off, a, b): pairs that meet in a hash, a > b (sides: a of the side that is marked); and hashes to put off."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            for part in K.slices(batch, "text", S.SLICE_BYTES):
-                held = [x.tobytes() for x in shingle_sets(part.column("text"), shingle)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(held, pa.binary())], names=["id", "hashes"])
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            lead, size = _runs(held[0])
+            if len(lead) > 1:
+                cut = lead[-1]
+                yield from out([x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+            elif not sides and size[0] > 4 * MOST_SHARED and not held[1][0]:  # to be put off: more rows tell nothing new
+                held = [x[: 2 * MOST_SHARED] for x in held]
+        if held is not None:
+            yield from out(held)
+
+    def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        hashes, late, ids, n = columns[:4]
+        lead, size = _runs(hashes)
+        if not sides:
+            off = (size > MOST_SHARED) & ~late[lead]
+            if off.any():
+                yield batch(hashes[lead[off]], None)
+            lead, size = lead[~off], size[~off]
+        found, count = [], 0
+        for pairs in _pairs_in_runs(ids, n, lead, size, similarity, columns[4] if sides else None):
+            found.append(pairs)
+            count += len(pairs)
+            if count >= _FLUSH:
+                yield batch(None, _unique_pairs(found))
+                found, count = [], 0
+        if count:
+            yield batch(None, _unique_pairs(found))
+
+    def batch(off: np.ndarray | None, pairs: np.ndarray | None) -> pa.RecordBatch:
+        rows = len(off) if off is not None else len(pairs)
+        none = pa.nulls(rows, pa.int64())
+        columns = [none if off is None else pa.array(off), *[none if pairs is None else pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)]]
+        return pa.RecordBatch.from_arrays(columns, names=["put_off", "a", "b"])
+
+    keys = ["hash", "late", "id", "n", *["asks"] * sides]
+    return prefixes.select(*keys).repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(K.frugal(each), "put_off long, a long, b long")
+
+
+def _unique_pairs(found: list[np.ndarray]) -> np.ndarray:
+    pairs = np.concatenate(found)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+    return pairs[new]
+
+
+def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, written: by signatures first, then by the sets themselves."""
+    most = (1 - similarity) / (1 + similarity)
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            na, nb, sa, sb = (batch.column(k).to_pylist() for k in ("na", "nb", "sa", "sb"))
+            keep = [cells_apart(x, y) <= most * (m + n) + 1e-6 for m, n, x, y in zip(na, nb, sa, sb, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [np.unique(np.frombuffer(b"".join(x), np.uint64)).tobytes() for x in batch.column("hashes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(held, pa.binary())], names=["id", "hashes"])
+    def are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            both = zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in both], pa.bool_()))
 
-    rows = materialize(_texts(docs, id_col, text_col).mapInArrow(each, "id long, hashes binary"), "sets")
-    often = materialize(rows.groupBy("id").count().where("count > 1").select("id"), "repeated")
-    if often.isEmpty():
-        return rows
-    many = rows.join(often, "id").groupBy("id").agg(F.collect_set("hashes").alias("hashes")).mapInArrow(united, rows.schema)
-    return materialize(rows.join(often, "id", "left_anti").unionByName(many), "sets")
+    def beside(left: DataFrame, told: DataFrame, **columns: str) -> DataFrame:
+        for k in ("a", "b"):
+            left = left.join(told.select(F.col("id").alias(k), *[F.col(c).alias(f"{short}{k}") for short, c in columns.items()]), k)
+        return left
 
+    likely = materialize(beside(pairs.distinct(), rows, n="n", s="signature").mapInArrow(K.frugal(may), "a long, b long"), "likely")
+    asked = semi(rows.select("id", "hashes"), likely.select(F.explode(F.array("a", "b")).alias("id")), "asked")
+    found = materialize(beside(likely, asked, h="hashes").mapInArrow(K.frugal(are), "a long, b long"), "pairs")
+    drop_table(likely, asked)
+    return found
 
-def _drop(*tables: DataFrame) -> None:
-    """Remove tables that were materialized and that nothing reads any more."""
-    for table in tables:
-        for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            drop_path(table.sparkSession, path)
 
+def similar_pairs(rows: DataFrame, similarity: float, lost: DataFrame | None = None) -> tuple[DataFrame, Order]:
+    """(a, b), a > b: all similar pairs among rows whose id isn't lost, written; and the last order of the hashes."""
+    order, pairs, tables = Order(), [], []
+    parts = [(rows, None)]
+    if lost is not None:
+        gone = Bits(lost, "id")
+        doubtful = _kept_of(rows, gone, lost)
+        parts = [(rows, gone), (doubtful, None)]
+        tables.append(doubtful)
+    while True:
+        firsts = [prefix_rows(part, similarity, order, lost=without) for part, without in parts]
+        met = materialize(meetings(_union(firsts), similarity), "meetings")
+        tables.append(met)
+        pairs.append(met.where("a is not null").select("a", "b"))
+        off = met.where("put_off is not null").select(F.col("put_off").alias("hash"))
+        if off.isEmpty():
+            break
+        new = Bits(off, "hash")
+        again = materialize(_union([_meeting(part, similarity, order, new, without) for part, without in parts]), "again")
+        tables.append(again)
+        often = materialize(_often(again, order), "often")
+        order = Order([*order.late, new, *([] if often.isEmpty() else [Bits(often, "hash")])])
+        parts = [(again, None)]
+    found = verified(_union(pairs), rows, similarity)
+    drop_table(*tables)
+    return found, order
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts, as what they turn into is held at once."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(at, ROWS_AT_ONCE)
 
+def _kept_of(rows: DataFrame, gone: Bits, lost: DataFrame) -> DataFrame:
+    """The rows that the bitmap of lost ids lets through though they aren't lost, written."""
+
+    def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(gone.has(batch.column("id").to_numpy())))
 
-def prefixes(sets: DataFrame, similarity: float, late: np.ndarray) -> DataFrame:
-    """(hash, id, n): the first hashes of each set, those in late (sorted) coming after all others."""
+    held = rows.select("id", "hashes").mapInArrow(K.frugal(doubtful), "id long, hashes binary")
+    return materialize(held.join(lost.select("id").distinct(), "id", "left_anti"), "doubtful")
+
+
+def _meeting(rows: DataFrame, similarity: float, order: Order, off: Bits, lost: Bits | None) -> DataFrame:
+    """The rows (id, hashes) whose first hashes may be among those to put off."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
-            out, sizes = [np.zeros(0, np.uint64)], []
-            for data in batch.column("hashes").to_pylist():
-                mine = np.frombuffer(data, np.uint64)
-                if len(late) and len(mine):
-                    spot = np.minimum(np.searchsorted(late, mine), len(late) - 1)
-                    is_late = late[spot] == mine
-                    mine = np.concatenate([mine[~is_late], mine[is_late]])
-                out.append(mine[: prefix_size(len(mine), similarity)] if len(mine) else mine)
-                sizes.append(len(mine))
-            count = np.array([len(x) for x in out[1:]], np.int64)
-            ids = np.repeat(batch.column("id").to_numpy(), count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(ids), pa.array(np.repeat(np.array(sizes, np.int64), count))], names=["hash", "id", "n"])
-
-    return sets.mapInArrow(each, "hash long, id long, n long")
-
-
-def similar_pairs(left: DataFrame, right: DataFrame, similarity: float, late: np.ndarray, ordered: bool, shared: DataFrame | None = None) -> DataFrame:
-    """(a, b): all similar pairs of a set of left and one of right; ordered: with a > b only."""
-    a, b = (prefixes(x, similarity, late).toDF("hash", k, f"n{k}") for x, k in ((left, "a"), (right, "b")))
-    if shared is not None:
-        a, b = a.join(shared, "hash", "left_semi"), b.join(shared, "hash", "left_semi")
-    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6)
-    may = (F.col("a") > F.col("b") if ordered else F.lit(True)) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6)
-    # beyond the prefix that ends first in the one order, at most the rest of its set is in common
-    rest = F.greatest(*[F.ceil(F.col(n) * similarity - 1e-9) for n in ("na", "nb")]) - 1
-    shared_count = a.join(b, "hash").where(may).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    pairs = materialize(shared_count.where(F.col("c") + rest >= least).select("a", "b"), "candidates")
+            if lost is not None:
+                batch = batch.filter(pa.array(~lost.has(batch.column("id").to_numpy())))
+            hashes, take, _, _ = order.prefixes(batch.column("hashes"), similarity)
+            yield batch.filter(pa.array(K.row_sums(off.has(hashes), np.concatenate([[0], np.cumsum(take)])) > 0))
+
+    return rows.select("id", "hashes").mapInArrow(K.frugal(each), "id long, hashes binary")
+
+
+def _often(rows: DataFrame, order: Order) -> DataFrame:
+    """(hash): more hashes to put off, as many of these sets have them. Any answer is right, a good one saves rounds."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches):
-            both = zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True)
-            yield batch.select(["a", "b"]).filter(pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in both], pa.bool_()))
+        held, count = [np.zeros(0, np.uint64)], 0
+
+        def told() -> pa.RecordBatch:
+            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
+            hashes, counts = hashes[counts > 1], counts[counts > 1]
+            new = ~order.put_off(hashes)
+            return pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64)), pa.array(counts[new])], names=["hash", "c"])
 
-    # only the sets in question are dealt out
-    held = [materialize(x.join(materialize(pairs.select(F.col(k).alias("id")).distinct(), "asked"), "id", "left_semi"), "held").toDF(k, f"h{k}") for x, k in ((left, "a"), (right, "b"))]
-    told = pairs.join(held[0], "a").join(held[1], "b").select("a", "b", "ha", "hb")
-    found = materialize(told.mapInArrow(each, "a long, b long"), "pairs")
-    _drop(*held)
+        for batch in _small(batches):
+            held.append(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64))
+            count += len(held[-1])
+            if count >= 4 * _FLUSH:
+                yield told()
+                held, count = [np.zeros(0, np.uint64)], 0
+        if count:
+            yield told()
+
+    counts = rows.select("id", "hashes").mapInArrow(K.frugal(each), "hash long, c long")
+    return counts.groupBy("hash").agg(F.sum("c").alias("c")).where(F.col("c") > MOST_SHARED).select("hash")
+
+
+def pairs_between(asked: DataFrame, rows: DataFrame, lost: DataFrame, similarity: float, order: Order) -> DataFrame:
+    """(a, b): all similar pairs of a row of asked and one of rows that isn't lost, written."""
+    mine = materialize(prefix_rows(asked, similarity, order, among=None), "asking")
+    among, gone = Bits(mine, "hash"), Bits(lost, "id")
+    doubtful = _kept_of(rows, gone, lost)
+    theirs = prefix_rows(rows, similarity, order, lost=gone, among=among).unionByName(prefix_rows(doubtful, similarity, order, among=among))
+    both = mine.withColumn("asks", F.lit(True)).unionByName(theirs.withColumn("asks", F.lit(False)))
+    found = verified(meetings(both, similarity, sides=True).select("a", "b"), rows, similarity)
+    drop_table(mine, doubtful)
+    among.free()
+    gone.free()
     return found
 
 
-def shared_hashes(sets: DataFrame, similarity: float) -> tuple[DataFrame, np.ndarray]:
-    """(hash) of the prefixes that several sets have, and the hashes that come late in the order."""
-    late = np.zeros(0, np.uint64)
-    while True:
-        often = materialize(prefixes(sets, similarity, late).groupBy("hash").count().where("count > 1"), "shared")
-        many = np.array([r.hash for r in often.where(F.col("count") > MOST_SHARED).collect()], np.int64).view(np.uint64)
-        new = np.setdiff1d(many, late)
-        if not len(new):
-            return often.select("hash"), late
-        late = np.union1d(late, new)
+# --- who stays ----------------------------------------------------------------------------------------------------
 
 
 def _gone(pairs: DataFrame) -> DataFrame:
-    """(id) that go along similar pairs (a > b), in order of id: those with a smaller one that stays."""
+    """(id, by) that go along similar pairs (a > b), in order of id: those with a smaller one that stays."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, gone = None, set()
@@ -238,55 +526,30 @@ def _gone(pairs: DataFrame) -> DataFrame:
                     now, gone = component, set()
                 if a not in gone and b not in gone:
                     gone.add(a)
-                    out.append(a)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["id", "by"])
 
     told = pairs.join(connected_components(pairs).withColumnRenamed("node", "a"), "a").select("component", "a", "b")
-    return materialize(told.repartition("component").sortWithinPartitions("component", "a", "b").mapInArrow(each, "id long"), "gone")
+    return materialize(told.repartition("component").sortWithinPartitions("component", "a", "b").mapInArrow(each, "id long, by long"), "gone")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """(id) of the documents to drop: each is a near copy of one that stays."""
-    spark = docs.sparkSession
-    rows = materialize(fingerprint_rows(docs, id_col, text_col, shingle, seeds), "fingerprints")
+    rows = set_rows(docs, id_col, text_col, shingle)
     total = rows.count()
-    edges = []
-    for n in range(len(seeds)):
-        nodes = materialize(rows.groupBy(F.col(f"fp{n}").alias("fp")).agg(F.min("id").alias("least")), "nodes", total)
-        found = materialize(S.linked_fingerprints(nodes, radius), "links")
-        a, b = nodes.select(F.col("fp").alias("a"), F.col("least").alias("ida")), nodes.select(F.col("fp").alias("b"), F.col("least").alias("idb"))
-        edges.append(found.join(a, "a").join(b, "b").select(F.col("ida").alias("a"), F.col("idb").alias("b")))
-        edges.append(rows.join(nodes, F.col(f"fp{n}") == F.col("fp")).where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
-    union = edges[0]
-    for more in edges[1:]:
-        union = union.unionByName(more)
-    groups = materialize(connected_components(union), "groups", total)
-    sizes = groups.groupBy("component").count()
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # at most HOT_SHARE components have so many rows
-    hot = [r.component for r in sizes.where(F.col("count") > max(salts, total // HOT_SHARE)).collect()]
-    salt = F.when(F.col("component").isin(hot), F.pmod(F.xxhash64("id"), F.lit(salts)) + 1).otherwise(F.lit(0))
-    groups = groups.select(F.col("node").alias("id"), "component", salt.alias("salt"))
-
-    sets = set_rows(docs, id_col, text_col, shingle)
-    first = materialize(_decided(sets.join(groups, "id").select("component", "salt", "id", "hashes"), similarity, "component", "salt"), "decided")
-    lost = first.where("by is not null").select("id", "by")
-    if hot:
-        again = materialize(_decided(first.where("salt > 0 and by is null").drop("by"), similarity, "component"), "decided")
-        lost = lost.unionByName(again.where("by is not null").select("id", "by"))
-    lost = materialize(lost, "lost", total)
-    left = materialize(sets.join(lost, "id", "left_anti"), "left")
-    shared, late = shared_hashes(left, similarity)
-    pairs = similar_pairs(left, left, similarity, late, True, shared)
+    lost = grouped_copies(rows, radius, similarity, total)
+    pairs, order = similar_pairs(rows, similarity, lost)
     gone = _gone(pairs)
+    dropped = materialize(lost.unionByName(gone), "dropped", total)
     # those that went for one that has gone
-    orphans = materialize(lost.join(lost.unionByName(gone.select("id", F.lit(None).cast("long").alias("by"))).select(F.col("id").alias("by")).distinct(), "by", "left_semi").select("id"), "orphans")
-    back = orphans
-    if not orphans.isEmpty():
-        asked = sets.join(orphans, "id", "left_semi")
-        had = similar_pairs(asked, left.join(gone, "id", "left_anti"), similarity, late, False).select(F.col("a").alias("id")).distinct()
-        back = materialize(orphans.join(had, "id", "left_anti"), "back")
-        back = back.join(_gone(similar_pairs(sets.join(back, "id", "left_semi"), sets.join(back, "id", "left_semi"), similarity, late, True)), "id", "left_anti")
-        back = materialize(back, "back")
-    _drop(left, sets, first)
-    return lost.select("id").unionByName(gone).join(back, "id", "left_anti").distinct()
+    orphans = materialize(dropped.join(dropped.select(F.col("id").alias("by")).distinct(), "by", "left_semi").select("id").distinct(), "orphans", total)
+    if orphans.isEmpty():
+        drop_table(rows)
+        return dropped.select("id")
+    asked = semi(rows, orphans, "orphans")
+    had = pairs_between(asked.select("id", "hashes"), rows, dropped, similarity, order)
+    back = materialize(asked.join(had.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select(*asked.columns), "back")
+    still, _ = similar_pairs(back, similarity)
+    back = materialize(back.select("id").join(_gone(still).select("id"), "id", "left_anti"), "returned")
+    drop_table(rows, asked, had)
+    return dropped.select("id").distinct().join(back, "id", "left_anti")

@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, size: i
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(each, PIECE + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(K.frugal(each), PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sequence), pa.array(rows[slot, 3])], names=[*names, "sequence_id", "offset"])
 
     schema = PIECE + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
-    return ranked.select(*names, "rank").mapInArrow(place, schema)
+    return ranked.select(*names, "rank").mapInArrow(K.frugal(place), schema)
 
 
 def sequences(packed: DataFrame, size: int = SIZE, pad_id: int = 0) -> DataFrame:

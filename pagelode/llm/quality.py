@@ -161,7 +161,7 @@ def quality(docs: DataFrame, model_path: str, text_col: str = "text", lang_col:
                 columns = [*[pa.array(m[c], pa.int64()) for c in COUNTS], *[pa.array(m[c], pa.float64()) for c in MEASURES], pa.array(m["latin"])]
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in stay], *columns], names=[f.name for f in [*stay, *added]])
 
-    rows = materialize(docs.mapInArrow(each, T.StructType([*stay, *added])), "quality")
+    rows = materialize(docs.mapInArrow(K.frugal(each), T.StructType([*stay, *added])), "quality")
     given = rows.columns
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     script = F.when(F.col("latin_script"), F.lit("latin")).otherwise(F.lit("other"))

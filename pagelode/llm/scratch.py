@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (local runs and tests)."""
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='pagelode-')}"
         spark.conf.set(CHECKPOINT_CONF, base)
     return base.rstrip("/")
@@ -48,3 +50,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Remove tables that materialize() wrote and that nothing reads any more."""
+    for table in tables:
+        for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            drop_path(table.sparkSession, path)

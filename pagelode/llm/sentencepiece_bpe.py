@@ -343,7 +343,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_crc32", "lossless", "text_sha256", *["ids"] * with_ids])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(each, "id long, n_tokens long, ids_crc32 long, lossless boolean, text_sha256 string" + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(K.frugal(each), "id long, n_tokens long, ids_crc32 long, lossless boolean, text_sha256 string" + (", ids array<int>" if with_ids else ""))
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
@@ -357,4 +357,4 @@ def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "id", id
             text, offsets = decode(v, np.concatenate([*held, np.zeros(0, np.int64)]), edge)
             yield pa.RecordBatch.from_arrays([batch.column("id"), K.string_array(text, offsets).cast(pa.string())], names=["id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(each, "id long, text string")
+    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(K.frugal(each), "id long, text string")

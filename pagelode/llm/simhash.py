@@ -140,7 +140,7 @@ def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int,
                 fps = fingerprints_of(part.column("text"), shingle, seed)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(K.frugal(each), "id long, fp long")
 
 
 # --- shards and their trees ---------------------------------------------------------------------------------------
@@ -255,7 +255,7 @@ def shard_links(shards: DataFrame, radius: int) -> DataFrame:
             a, b = (np.concatenate(x) for x in zip(*got, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return shards.mapInArrow(each, "a long, b long")
+    return shards.mapInArrow(K.frugal(each), "a long, b long")
 
 
 def linked_fingerprints(nodes: DataFrame, radius: int) -> DataFrame:
@@ -281,9 +281,8 @@ def linked_fingerprints(nodes: DataFrame, radius: int) -> DataFrame:
     return sets.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """One row for each document: (id, fp, component_id); see the module's text."""
-    rows = materialize(fingerprint_rows(docs, id_col, text_col, shingle, seed), "fingerprints")
+def linked_rows(rows: DataFrame, radius: int) -> DataFrame:
+    """(id, fp, component_id) of rows (id, fp): the least id that links of fingerprints within the radius lead to."""
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes", rows.count())
     count = nodes.count()
     found = connected_components(linked_fingerprints(nodes, radius))
@@ -291,3 +290,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     answer = materialize(nodes.join(roots, "root").select("fp", "component_id"), "components", count)
     return rows.join(answer, "fp").select("id", "fp", "component_id")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """One row for each document: (id, fp, component_id); see the module's text."""
+    return linked_rows(materialize(fingerprint_rows(docs, id_col, text_col, shingle, seed), "fingerprints"), radius)

@@ -89,7 +89,7 @@ def pack_blocks(docs: DataFrame, text_col: str, window: int, block_bytes: int) -
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "n_windows": pa.array([count], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
                 block += 1
 
-    return docs.mapInArrow(pack, "block long, n_windows long, payload binary")
+    return docs.mapInArrow(K.frugal(pack), "block long, n_windows long, payload binary")
 
 
 def _open(payload: bytes) -> pa.RecordBatch:
@@ -161,8 +161,8 @@ def build_sketch(blocks: DataFrame, id_col: str, text_col: str, window: int, bit
         if part is not None:
             yield done()
 
-    pieces = blocks.select("payload").mapInArrow(emit, "part int, n int, cells binary")
-    return materialize(pieces.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary"), "sketch")
+    pieces = blocks.select("payload").mapInArrow(K.frugal(emit), "part int, n int, cells binary")
+    return materialize(pieces.repartition("part").sortWithinPartitions("part").mapInArrow(K.frugal(merge), "part int, bits binary"), "sketch")
 
 
 def load_sketch(merged: DataFrame, bits: int) -> np.ndarray:
@@ -246,7 +246,7 @@ def candidate_keys(blocks: DataFrame, sketch, id_col: str, text_col: str, window
                     | {"base": pa.array([base] * len(got), pa.int64())}
                 )
 
-    return blocks.select("block", "payload").mapInArrow(emit, "bucket long, block long, one binary, two binary, least binary, base long")
+    return blocks.select("block", "payload").mapInArrow(K.frugal(emit), "bucket long, block long, one binary, two binary, least binary, base long")
 
 
 def earlier_owners(keys: DataFrame) -> DataFrame:

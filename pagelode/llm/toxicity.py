@@ -128,7 +128,7 @@ def fit(rows: DataFrame, bits: int = BITS, epochs: int = EPOCHS, max_rows: int =
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], model.intercept()))], names=["feature", "weight"])
 
-    return rows.mapInArrow(extract, "order long, label int, present binary").repartition(1).mapInArrow(learn, "feature long, weight double")
+    return rows.mapInArrow(K.frugal(extract), "order long, label int, present binary").repartition(1).mapInArrow(K.frugal(learn), "feature long, weight double")
 
 
 def score(docs: DataFrame, model: DataFrame, text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text", bits: int =
                 value = sigmoid(total) if intercept > -50 else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], names=[*part.schema.names, "score"])
 
-    return docs.mapInArrow(each, docs.withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(K.frugal(each), docs.withColumn("score", F.lit(0.0)).schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:

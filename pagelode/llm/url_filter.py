@@ -103,7 +103,7 @@ def url_filter(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     own = F.col("own.verdict")
     if edges.isEmpty():
         return judged.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce(own, F.lit("allow")).alias("verdict"))
-    classes = materialize(connected_components(edges), "classes")
+    classes = materialize(connected_components(edges, native=True), "classes")
     at, to = url_parts(F.col("node"))
     marked = classes.withColumn("v", rule_for(at, to, rules)["verdict"])
     verdicts = marked.groupBy("component").agg(F.coalesce(F.bool_or(F.col("v") == "allow"), F.lit(False)).alias("allowed"), F.coalesce(F.bool_or(F.col("v") == "block"), F.lit(False)).alias("blocked"))

@@ -439,22 +439,47 @@ def test_near_copies_at_every_similarity_are_found(spark):
     assert len(both) > 20 and min(both) < 0.83 and max(both) > 0.85
 
 
-@pytest.mark.parametrize("partitions", [2, 7])
-def test_large_groups_follow_the_rule_of_small_ones(spark, monkeypatch, partitions):
+def test_a_chain_is_decided_alike_on_any_number_of_partitions(spark):
     rng = np.random.default_rng(14)
     words, rows = [f"t{x}" for x in rng.integers(0, 50_000, 200)], []
-    for n, i in enumerate(rng.permutation(120).tolist()):  # a chain: each is similar to its neighbours only
+    for n, i in enumerate(rng.permutation(120).tolist()):  # each is similar to its neighbours only
         words[(n * 37) % 200] = f"new{n}"
         words[(n * 53) % 200] = f"more{n}"
         rows.append((i, " ".join(words)))
-    monkeypatch.setattr(near_dedup, "HOT_SHARE", 1_000_000)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
-    try:
-        found = {r.id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    check_near(found, dict(zip([i for i, _ in rows], near_dedup.shingle_sets(pa.array([t for _, t in rows]), 5), strict=True)))
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for partitions in (2, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        try:
+            found.append({r.id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    check_near(found[0], dict(zip([i for i, _ in rows], near_dedup.shingle_sets(pa.array([t for _, t in rows]), 5), strict=True)))
+
+
+def test_hashes_that_many_sets_share_lose_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    passage = [f"p{x}" for x in range(150)]
+    rows = []
+    for n in range(90):  # two thirds of every text are one passage; each third text has a near copy
+        own = [f"t{x}" for x in rng.integers(0, 50_000, 80)]
+        rows.append((n, " ".join([*passage, *own])))
+        if n % 3 == 0:
+            own[40:44] = ["a", "b", "c", "d"]
+            rows.append((1000 + n, " ".join([*own, *passage])))
+    monkeypatch.setattr(near_dedup, "MOST_SHARED", 5)
+    found = {r.id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = check_near(found, dict(zip([i for i, _ in rows], near_dedup.shingle_sets(pa.array([t for _, t in rows]), 5), strict=True)))
+    assert len(pairs) == len(found) == 30
+
+
+def test_signatures_bound_the_difference_of_sets():
+    rng = np.random.default_rng(16)
+    for n in (1, 3, 64, 65, 700, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2 + 1], rng.integers(0, 1 << 63, n // 3).astype(np.uint64)]))
+        apart = near_dedup.cells_apart(near_dedup.signature(a), near_dedup.signature(b))
+        assert apart <= len(np.setxor1d(a, b)) and near_dedup.cells_apart(near_dedup.signature(a), near_dedup.signature(a)) == 0
 
 
 # --- 10 -----------------------------------------------------------------------------------------------------------
