@@ -1,12 +1,13 @@
 """Exact deduplication by composable polynomial fingerprints.
 
-Method. A text is cut into chunks; each chunk has a polynomial hash (two odd bases, modulo 2^64), computed for all
-chunks of a batch at once, and chunk hashes combine from left to right: the hash of AB is hash(A) * base^len(B) +
-hash(B). So chunks of a huge document can be hashed anywhere and in any order. Texts with equal fingerprints
+Method. A text is cut into chunks of fixed length; each has a polynomial hash on its own (two bases, modulo the prime
+2^61 - 1), from one small table of powers. Chunk hashes combine by length-shifted arithmetic: the
+hash of AB is hash(A) + base^len(A) * hash(B). So the chunks of a text of over HUGE_BYTES are dealt to other tasks, hashed
+there in any order, and summed, each shifted by the length before it. Texts with equal fingerprints
 (both hashes and the length) are then compared chunk by chunk in a stream; a fingerprint that stands for more than
 one text is told apart by the texts' digests.
 
-Scale. Only fingerprints, digests and ids of all rows are shuffled. Texts travel only if a bitmap of the repeated
+Scale. Memory is that of a slice or of the text at hand, whatever the lengths. Only fingerprints, digests and ids of all rows are shuffled. Texts travel only if a bitmap of the repeated
 fingerprints (bounded, broadcast) has them. A fingerprint that holds more than a thousandth of all rows is salted
 over all partitions, and the salts' first texts are compared among themselves. Groups are counted by partial
 aggregation; the join that hands the group back to its rows has two exchanges, so a hot group can be split.
@@ -28,56 +29,81 @@ from pyspark.sql import functions as F
 from pagelode.llm import kernels as K
 from pagelode.llm.scratch import materialize
 
-CHUNK_BYTES = 1 << 16
+CHUNK_BYTES = 1 << 10
 SLICE_BYTES = 1 << 20
+#: Texts from which chunks are hashed in tasks of their own, and what such a task is given at once.
+HUGE_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
 BITMAP_BITS = 28
 HOT_SHARE = 1000
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+PRIME = (1 << 61) - 1
+BASES = (0x1234567_89ABCDE5, 0x0FEDCBA9_87654321)
 _KEY = ["h1", "h2", "n"]
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^k and base^-k for k below count, kept between batches."""
-    if base not in _POWERS or len(_POWERS[base][0]) < count:
-        tables = []
-        for factor in (base, pow(base, -1, 1 << 64)):
-            table = np.full(count, factor, K.U64)
-            table[0] = 1
-            tables.append(np.cumprod(table))
-        _POWERS[base] = (tables[0], tables[1])
-    return _POWERS[base]
-
-
-def chunk_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """The polynomial hash of each chunk: the sum of (byte + 1) * base^(bytes after it in the chunk)."""
-    power, inverse = _powers(base, len(data) + 1)
-    total = np.zeros(len(data) + 1, K.U64)
-    np.cumsum((data.astype(K.U64) + K.U64(1)) * inverse[: len(data)], out=total[1:])
-    return (total[ends] - total[starts]) * power[np.maximum(ends, 1) - 1]
+_LIMB = 21
+_TABLES: dict[int, tuple[np.ndarray, list[list[int]], list[list[int]]]] = {}
+
+
+def _tables(chunk: int) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
+    """For chunks of a length: the powers of both bases in limbs of 21 bits, the sums of the first powers, and shifts by whole chunks."""
+    if chunk not in _TABLES:
+        limbs, sums, shifts = [], [], []
+        for base in BASES:
+            power = [1]
+            for _ in range(chunk):
+                power.append(power[-1] * base % PRIME)
+            limbs += [[x >> (_LIMB * k) & ((1 << _LIMB) - 1) for x in power[:chunk]] for k in range(3)]
+            total, shift = [0], [1]
+            for x in power[:chunk]:
+                total.append((total[-1] + x) % PRIME)
+            while len(shift) <= PIECE_BYTES // chunk + 1:
+                shift.append(shift[-1] * power[chunk] % PRIME)
+            sums.append(total)
+            shifts.append(shift)
+        _TABLES[chunk] = (np.array(limbs, float).T, sums, shifts)
+    return _TABLES[chunk]
+
+
+def chunk_hashes(data: np.ndarray, offsets: np.ndarray, chunk: int) -> tuple[np.ndarray, list[list[int]]]:
+    """How many chunks each row has (one at least), and for each base the hashes of all chunks.
+
+    A chunk's hash is the sum of (byte + 1) * base^(place in the chunk), modulo PRIME. A byte times 21 bits, summed over a
+    chunk, stays below 2^53, so products of floats are exact.
+    """
+    limbs, sums, _ = _tables(chunk)
+    sizes = np.diff(offsets)
+    parts = np.maximum(-(-sizes // chunk), 1)
+    lead = np.concatenate([[0], np.cumsum(parts)])
+    padded = np.zeros(int(lead[-1]) * chunk, np.uint8)
+    for at, a, b in zip((lead[:-1] * chunk).tolist(), offsets.tolist(), offsets[1:].tolist(), strict=False):
+        padded[at : at + b - a] = data[a:b]
+    got = (padded.reshape(-1, chunk).astype(float) @ limbs).astype(np.int64).tolist()
+    last = np.full(int(lead[-1]), chunk)
+    last[lead[1:] - 1] = sizes - (parts - 1) * chunk
+    size = last.tolist()
+    return parts, [[(x[3 * n] + (x[3 * n + 1] << _LIMB) + (x[3 * n + 2] << 2 * _LIMB) + sums[n][k]) % PRIME for x, k in zip(got, size, strict=True)] for n in range(len(BASES))]
 
 
-def combine(left: int, right: int, right_bytes: int, base: int) -> int:
+def combine(left: int, left_bytes: int, right: int, base: int) -> int:
     """The hash of two adjoining pieces, from theirs."""
-    return (left * pow(base, right_bytes, 1 << 64) + right) % (1 << 64)
+    return (left + pow(base, left_bytes, PRIME) * right) % PRIME
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK_BYTES) -> list[np.ndarray]:
     """For each base, the fingerprint of each row; chunks are hashed on their own and combined."""
-    sizes = np.diff(offsets)
-    parts = np.maximum(-(-sizes // chunk), 1)
-    lead = np.concatenate([[0], np.cumsum(parts)])
-    starts = np.repeat(offsets[:-1], parts) + chunk * (np.arange(lead[-1]) - np.repeat(lead[:-1], parts))
-    ends = np.minimum(starts + chunk, np.repeat(offsets[1:], parts))
+    if len(offsets) == 2 and len(data) > PIECE_BYTES:  # a long text by itself: piece by piece, to bound the memory
+        whole = [0] * len(BASES)
+        for at in range(0, len(data), PIECE_BYTES):
+            piece = data[at : at + PIECE_BYTES]
+            for n, found in enumerate(fingerprints(piece, np.array([0, len(piece)]), chunk)):
+                whole[n] = combine(whole[n], at, int(found[0]), BASES[n])
+        return [np.array([x], np.int64) for x in whole]
+    parts, hashes = chunk_hashes(data, offsets, chunk)
+    lead = np.cumsum(parts) - parts
     out = []
-    for base in BASES:
-        pieces = chunk_hashes(data, starts, ends, base)
-        whole = pieces[lead[:-1]].copy()
+    for shift, found in zip(_tables(chunk)[2], hashes, strict=True):
+        whole = np.array(found, np.int64)[lead]
         for row in np.flatnonzero(parts > 1).tolist():
-            value = int(whole[row])
-            for k in range(lead[row] + 1, lead[row + 1]):
-                value = combine(value, int(pieces[k]), int(ends[k] - starts[k]), base)
-            whole[row] = value
+            mine = found[lead[row] : lead[row] + parts[row]]
+            whole[row] = sum(map(int.__mul__, mine, shift)) % PRIME
         out.append(whole)
     return out
 
@@ -86,24 +112,57 @@ def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[np.ndarray]]]:
+def _sliced(batches: Iterator[pa.RecordBatch], defer: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[np.ndarray]]]:
     for batch in batches:
         for part in K.slices(batch, "text", SLICE_BYTES):
             data, offsets = K.text_buffer(part.column("text"))
             data = K.LOWER[data]
-            yield part, data, offsets, fingerprints(data, offsets)
+            whole = defer and part.num_rows == 1 and len(data) > HUGE_BYTES  # hashed by its pieces elsewhere
+            yield part, data, offsets, [np.zeros(1, np.int64)] * 2 if whole else fingerprints(data, offsets)
+
+
+def huge_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(sha, h1, h2) of the texts of over HUGE_BYTES: pieces are dealt out, hashed where they land, shifted and summed."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                data, _ = K.text_buffer(batch.column("text").slice(k, 1))
+                data = K.LOWER[data]
+                sha = hashlib.sha256(data).digest()
+                for at in range(0, len(data), PIECE_BYTES):
+                    yield pa.RecordBatch.from_arrays([pa.array([sha], pa.binary()), pa.array([at], pa.int64()), pa.array([data[at : at + PIECE_BYTES].tobytes()], pa.binary())], names=["sha", "at", "piece"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shifted = [[], []]
+            for at, piece in zip(batch.column("at").to_pylist(), batch.column("piece").to_pylist(), strict=True):
+                data = np.frombuffer(piece, np.uint8)
+                for n, (base, found) in enumerate(zip(BASES, fingerprints(data, np.array([0, len(data)])), strict=True)):
+                    shifted[n].append(pow(base, at, PRIME) * int(found[0]) % PRIME)
+            yield pa.RecordBatch.from_arrays([batch.column("sha"), batch.column("at"), *[pa.array(x, pa.int64()) for x in shifted]], names=["sha", "at", "h1", "h2"])
+
+    pieces = _normalised(docs, id_col, text_col).where(F.octet_length("text") > HUGE_BYTES).mapInArrow(K.frugal(cut), "sha binary, at long, piece binary")
+    hashed = pieces.repartition("sha", "at").mapInArrow(K.frugal(each), "sha binary, at long, h1 long, h2 long").distinct()  # equal texts: once
+    total = [(F.sum(F.col(c).cast("decimal(20,0)")) % F.lit(PRIME)).cast("long").alias(c) for c in ("h1", "h2")]
+    return hashed.groupBy("sha").agg(*total)
 
 
 def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, h1, h2, n, sha): both hashes, the length in bytes and the digest of each row's normalised text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets, (h1, h2) in _sliced(batches):
+        for part, data, offsets, (h1, h2) in _sliced(batches, defer=True):
             view = memoryview(np.ascontiguousarray(data))
             sha = [hashlib.sha256(view[a:b]).digest() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.diff(offsets)), pa.array(sha, pa.binary())], names=["id", *_KEY, "sha"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(h1), pa.array(h2), pa.array(np.diff(offsets)), pa.array(sha, pa.binary())], names=["id", *_KEY, "sha"])
 
-    return _normalised(docs, id_col, text_col).mapInArrow(K.frugal(each), "id long, h1 long, h2 long, n long, sha binary")
+    rows = materialize(_normalised(docs, id_col, text_col).mapInArrow(K.frugal(each), "id long, h1 long, h2 long, n long, sha binary"), "hashed")
+    huge = rows.where(F.col("n") > HUGE_BYTES)
+    if huge.isEmpty():
+        return rows
+    told = materialize(huge_fingerprints(docs, id_col, text_col), "huge")
+    return rows.where(F.col("n") <= HUGE_BYTES).unionByName(huge.drop("h1", "h2").join(told, "sha").select(*rows.columns))
 
 
 def repeated_bitmap(groups: DataFrame, bits: int) -> np.ndarray:
@@ -135,12 +194,12 @@ def collided(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame, row
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
         for _, data, offsets, (h1, h2) in _sliced(batches):
-            cell = h1 & K.U64((1 << bits) - 1)
-            rows_in = np.flatnonzero((bitmap.value[cell >> K.U64(3)] >> (cell & K.U64(7)).astype(np.uint8)) & 1)
+            cell = h1 & ((1 << bits) - 1)
+            rows_in = np.flatnonzero((bitmap.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
             if not len(rows_in):
                 continue
             size = np.diff(offsets)[rows_in]
-            keys = list(zip(h1.view(np.int64)[rows_in].tolist(), h2.view(np.int64)[rows_in].tolist(), size.tolist(), strict=True))
+            keys = list(zip(h1[rows_in].tolist(), h2[rows_in].tolist(), size.tolist(), strict=True))
             salt = [(turn + k) % salts + 1 if key in hot else 0 for k, key in enumerate(keys)]
             turn += len(keys)
             view = memoryview(np.ascontiguousarray(data))
@@ -172,7 +231,7 @@ def collided(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame, row
     return firsts.where("differs").select(*_KEY).unionByName(again.where("differs").select(*_KEY)).distinct()
 
 
-def equal_in_chunks(a: bytes, b: bytes, chunk: int = CHUNK_BYTES) -> bool:
+def equal_in_chunks(a: bytes, b: bytes, chunk: int = PIECE_BYTES) -> bool:
     """Whether two texts are equal, chunk by chunk up to the first difference."""
     x, y = memoryview(a), memoryview(b)
     return len(x) == len(y) and all(x[k : k + chunk] == y[k : k + chunk] for k in range(0, len(x), chunk))

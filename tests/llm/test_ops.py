@@ -144,6 +144,22 @@ def test_chunk_hashes_combine_in_any_grouping():
         assert a.tolist() == b.tolist()
 
 
+def test_chunk_hashes_are_the_polynomial():
+    data = np.frombuffer(LONG.encode()[:1000], np.uint8)
+    for base, found in zip(ED.BASES, ED.fingerprints(data, np.array([0, 0, 1000]), 64), strict=True):
+        assert found.tolist() == [0, sum((int(b) + 1) * pow(base, k, ED.PRIME) for k, b in enumerate(data)) % ED.PRIME]
+
+
+def test_huge_texts_have_the_fingerprints_of_small_ones(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "Abc " * 900), (2, "abc " * 900), (3, "abc " * 901), (4, "x"), (5, None)], "doc_id long, text string")
+    want = sorted((r.id, r.h1, r.h2, r.n) for r in ED.fingerprint_rows(rows, "doc_id", "text").collect())
+    monkeypatch.setattr(ED, "HUGE_BYTES", 1000)
+    monkeypatch.setattr(ED, "SLICE_BYTES", 100)
+    monkeypatch.setattr(ED, "PIECE_BYTES", 700)
+    assert sorted((r.id, r.h1, r.h2, r.n) for r in ED.fingerprint_rows(rows, "doc_id", "text").collect()) == want
+    assert sorted((r.id, r.keep_id, r.group_size) for r in ED.exact_dedup(rows).collect()) == [(1, 2, 2), (2, 2, 2), (3, 3, 1), (4, 4, 1), (5, 5, 1)]
+
+
 def brute_exact(rows):
     groups = defaultdict(list)
     for r in rows:
