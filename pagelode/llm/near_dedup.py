@@ -7,11 +7,12 @@ similarity of 0.8, so fingerprints and a small radius find dense groups cheaply
 1. One pass over the texts takes each one's shingle set and fingerprint. The BK-tree shards of the SimHash operator link
 the fingerprints, and linked components are candidate groups. Every group, whatever its size, is dealt over SALTS parts
 by id; within a part, in order of id, a document is dropped for the first kept one found similar, else it is kept. The
-ones kept in a group's parts then meet once more.
+ones kept in a group's parts then meet once more, and those that went for one that went there are compared with the
+group's kept ones; without a similar one they are left to the second step.
 2. All similar pairs of those that are left are found exactly: two sets of similarity t share one of their first
 n - ceil(t n) + 1 hashes in any common order. A hash that more than MOST_SHARED sets meet in is put off: it comes last in
 the order, and only the sets that met in it are asked again, until no new such hash turns up. Sizes, then signatures
-(the parity of the hashes in each of n cells or more: two of them can't differ in more cells than the sets differ in
+(the parity of the hashes in each of 2 n cells or more: two of them can't differ in more cells than the sets differ in
 hashes) rule pairs out before sets are compared. Along the pairs, in order of id, a document goes if a smaller one that
 stays is similar.
 3. Documents that went for one that has gone itself are compared with all that stay, and those without a similar one come
@@ -47,8 +48,10 @@ from pagelode.llm.scratch import drop_table, materialize
 SHINGLE, RADIUS, SIMILARITY = 5, S.RADIUS, 0.8
 #: Parts that a group is dealt over.
 SALTS = 64
+#: Parts of a group that are each given all of its kept sets.
+ASKING_SALTS = 8
 #: Sets that may meet in a hash without its being put off.
-MOST_SHARED = 64
+MOST_SHARED = 16
 SLICE_BYTES = 2 << 20
 ROWS_AT_ONCE = 1000
 _FLUSH = 1 << 20
@@ -96,8 +99,8 @@ def _distinct(hashes: np.ndarray) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    """For each of n cells or more (a power of two), whether an odd number of the hashes falls there."""
-    size = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    """For each of 2 n cells or more (a power of two), whether an odd number of the hashes falls there."""
+    size = max(64, 2 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
     odd = np.bincount((hashes & K.U64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -176,11 +179,11 @@ class Keeper:
     def __init__(self, similarity: float) -> None:
         self.similarity, self.sets, self.ids, self.at, self.empty = similarity, [], [], {}, None
 
-    def copied(self, mine: np.ndarray, of: int) -> int | None:
-        """The id of a kept set that is similar; if none is, this one is kept."""
+    def copied(self, mine: np.ndarray, of: int, keep: bool = True) -> int | None:
+        """The id of a kept set that is similar; if none is, this one is kept, unless keep says no."""
         n = len(mine)
         if not n:
-            known, self.empty = self.empty, of if self.empty is None else self.empty
+            known, self.empty = self.empty, of if self.empty is None and keep else self.empty
             return known
         head = mine[: prefix_size(n, self.similarity)].tolist()
         seen = set()
@@ -190,6 +193,8 @@ class Keeper:
                     seen.add(k)
                     if similar(mine, self.sets[k], self.similarity):
                         return self.ids[k]
+        if not keep:
+            return None
         for h in head:
             self.at.setdefault(h, []).append(len(self.sets))
         self.sets.append(mine)
@@ -220,14 +225,41 @@ def grouped_copies(rows: DataFrame, radius: int, similarity: float, total: int)
     known = materialize(S.linked_rows(rows.select("id", "fp"), radius).select("id", F.col("component_id").alias("component")), "grouped", total)
     groups = known.join(known.where("id <> component").select("component").distinct(), "component", "left_semi")
     groups = materialize(groups.select("id", "component", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")), "groups", total)
-    members = semi(rows.select("id", "hashes"), groups, "members")
+    held = members = semi(rows.select("id", "hashes"), groups, "members")
     first = materialize(_decided(members.join(groups, "id").select("component", "salt", "id", "hashes"), similarity, "component", "salt"), "decided")
-    again = materialize(_decided(first.where("by is null").drop("by"), similarity, "component").where("by is not null").select("id", "by"), "decided")
-    lost = materialize(first.where("by is not null").select("id", "by").unionByName(again), "lost", total)
-    drop_table(known, groups, members, first, again)
+    again = materialize(_decided(first.where("by is null").drop("by"), similarity, "component").select("id", "by"), "decided")
+    gone = again.where("by is not null")
+    told = first.where("by is not null").select("component", "salt", "id", "by")
+    # those that went for one that went among the kept ones of other parts
+    fewer = F.pmod(F.col("salt"), F.lit(ASKING_SALTS)).alias("salt")
+    asked = materialize(told.join(gone.select(F.col("id").alias("by")), "by", "left_semi").select("component", fewer, "id"), "asked", total)
+    still = told.join(asked.select("id"), "id", "left_anti").select("id", "by")
+    kept = first.join(again.where("by is null").select("id"), "id", "left_semi").select("component", "id", "hashes")
+    kept = asked.select("component", "salt").distinct().join(kept, "component").select("component", "salt", "id", "hashes", F.lit(0).alias("asks"))
+    members = members.join(asked, "id").select("component", "salt", "id", "hashes", F.lit(1).alias("asks"))
+    lost = materialize(still.unionByName(gone).unionByName(_copies_of_kept(kept.unionByName(members), similarity)), "lost", total)
+    drop_table(known, groups, held, first, again, asked)
     return lost
 
 
+def _copies_of_kept(rows: DataFrame, similarity: float) -> DataFrame:
+    """(id, by): rows that ask and are similar to one that doesn't, of the same component and part."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keeper = None, Keeper(similarity)
+        for batch in _small(batches):
+            found = []
+            for component, salt, i, data, asks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (component, salt) != now:
+                    now, keeper = (component, salt), Keeper(similarity)
+                by = keeper.copied(np.frombuffer(data, np.uint64), i, keep=not asks)
+                if asks and by is not None and by != i:
+                    found.append((i, by))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["id", "by"])
+
+    return rows.repartition("component", "salt").sortWithinPartitions("component", "salt", "asks", "id").mapInArrow(K.frugal(each), "id long, by long")
+
+
 # --- all similar pairs --------------------------------------------------------------------------------------------
 
 
@@ -266,10 +298,21 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lead, np.diff(np.append(lead, len(keys)))
 
 
-def prefix_rows(rows: DataFrame, similarity: float, order: Order, lost: Bits | None = None, among: Bits | None = None) -> DataFrame:
+def _filtered(batches: Iterator[pa.RecordBatch], lost: Bits | None, some: Bits | None) -> Iterator[pa.RecordBatch]:
+    """The rows whose id may be in some and can't be in lost."""
+    for batch in batches:
+        if lost is not None:
+            batch = batch.filter(pa.array(~lost.has(batch.column("id").to_numpy())))
+        if some is not None:
+            batch = batch.filter(pa.array(some.has(batch.column("id").to_numpy())))
+        if batch.num_rows:
+            yield batch
+
+
+def prefix_rows(rows: DataFrame, similarity: float, order: Order, lost: Bits | None = None, some: Bits | None = None, among: Bits | None = None) -> DataFrame:
     """(hash, late, id, n): the first hashes of the sets of rows (id, hashes).
 
-    lost: ids to leave out. among: only hashes that may be members. Of a hash that isn't put off, a task needn't tell more
+    lost: ids to leave out; some: ids to take. among: only hashes that may be members. Of a hash that isn't put off, a task needn't tell more
     than MOST_SHARED + 1 rows at a time, as then it will be.
     """
 
@@ -279,20 +322,18 @@ def prefix_rows(rows: DataFrame, similarity: float, order: Order, lost: Bits | N
             at = np.argsort(columns[0], kind="stable")
             lead, size = _runs(columns[0][at])
             nth = np.arange(len(at)) - np.repeat(lead, size)
-            some = np.sort(at[(nth <= MOST_SHARED) | columns[1][at]])
-            columns = [x[some] for x in columns]
+            told_of = np.sort(at[(nth <= MOST_SHARED) | columns[1][at]])
+            columns = [x[told_of] for x in columns]
         return pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3].astype(np.int32))], names=["hash", "late", "id", "n"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
-        for batch in _small(batches):
-            if lost is not None:
-                batch = batch.filter(pa.array(~lost.has(batch.column("id").to_numpy())))
+        for batch in _small(_filtered(batches, lost, some)):
             hashes, take, late, size = order.prefixes(batch.column("hashes"), similarity)
             ids, size = np.repeat(batch.column("id").to_numpy(), take), np.repeat(size, take)
             if among is not None:
-                some = among.has(hashes)
-                hashes, late, ids, size = hashes[some], late[some], ids[some], size[some]
+                may = among.has(hashes)
+                hashes, late, ids, size = hashes[may], late[may], ids[may], size[may]
             if len(hashes):
                 held.append((hashes, late, ids, size))
                 count += len(hashes)
@@ -415,29 +456,32 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
 
 def similar_pairs(rows: DataFrame, similarity: float, lost: DataFrame | None = None) -> tuple[DataFrame, Order]:
     """(a, b), a > b: all similar pairs among rows whose id isn't lost, written; and the last order of the hashes."""
-    order, pairs, tables = Order(), [], []
-    parts = [(rows, None)]
+    order, pairs, tables, held = Order(), [], [], []
+    parts, some = [(rows, None)], None
     if lost is not None:
         gone = Bits(lost, "id")
         doubtful = _kept_of(rows, gone, lost)
         parts = [(rows, gone), (doubtful, None)]
         tables.append(doubtful)
+        held.append(gone)
     while True:
-        firsts = [prefix_rows(part, similarity, order, lost=without) for part, without in parts]
-        met = materialize(meetings(_union(firsts), similarity), "meetings")
+        met = materialize(meetings(_union([prefix_rows(part, similarity, order, without, some=some) for part, without in parts]), similarity), "meetings")
         tables.append(met)
         pairs.append(met.where("a is not null").select("a", "b"))
         off = met.where("put_off is not null").select(F.col("put_off").alias("hash"))
         if off.isEmpty():
             break
         new = Bits(off, "hash")
-        again = materialize(_union([_meeting(part, similarity, order, new, without) for part, without in parts]), "again")
-        tables.append(again)
-        often = materialize(_often(again, order), "often")
-        order = Order([*order.late, new, *([] if often.isEmpty() else [Bits(often, "hash")])])
-        parts = [(again, None)]
+        again = materialize(_union([_meeting(part, similarity, order, new, without, some) for part, without in parts]), "again")
+        often = again.where("c is not null").groupBy("hash").agg(F.sum("c").alias("c")).where(F.col("c") > MOST_SHARED).select("hash")
+        some = Bits(again.where("id is not null"), "id")
+        order = Order([*order.late, new, Bits(often, "hash")])
+        held.append(some)
+        drop_table(again)
     found = verified(_union(pairs), rows, similarity)
     drop_table(*tables)
+    for bits in held:
+        bits.free()
     return found, order
 
 
@@ -459,33 +503,26 @@ def _kept_of(rows: DataFrame, gone: Bits, lost: DataFrame) -> DataFrame:
     return materialize(held.join(lost.select("id").distinct(), "id", "left_anti"), "doubtful")
 
 
-def _meeting(rows: DataFrame, similarity: float, order: Order, off: Bits, lost: Bits | None) -> DataFrame:
-    """The rows (id, hashes) whose first hashes may be among those to put off."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches):
-            if lost is not None:
-                batch = batch.filter(pa.array(~lost.has(batch.column("id").to_numpy())))
-            hashes, take, _, _ = order.prefixes(batch.column("hashes"), similarity)
-            yield batch.filter(pa.array(K.row_sums(off.has(hashes), np.concatenate([[0], np.cumsum(take)])) > 0))
-
-    return rows.select("id", "hashes").mapInArrow(K.frugal(each), "id long, hashes binary")
-
-
-def _often(rows: DataFrame, order: Order) -> DataFrame:
-    """(hash): more hashes to put off, as many of these sets have them. Any answer is right, a good one saves rounds."""
+def _meeting(rows: DataFrame, similarity: float, order: Order, off: Bits, lost: Bits | None, some: Bits | None) -> DataFrame:
+    """(id, hash, c): the ids of sets whose first hashes may be among those to put off; and of these sets' hashes, how
+    often each was seen in a task, if twice or more. What is put off beside is free to choose, and common ones save rounds."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [np.zeros(0, np.uint64)], 0
 
         def told() -> pa.RecordBatch:
             hashes, counts = np.unique(np.concatenate(held), return_counts=True)
-            hashes, counts = hashes[counts > 1], counts[counts > 1]
+            often = counts > 1
+            hashes, counts = hashes[often], counts[often]
             new = ~order.put_off(hashes)
-            return pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64)), pa.array(counts[new])], names=["hash", "c"])
+            return pa.RecordBatch.from_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(hashes[new].view(np.int64)), pa.array(counts[new])], names=["id", "hash", "c"])
 
-        for batch in _small(batches):
-            held.append(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64))
+        for batch in _small(_filtered(batches, lost, some)):
+            hashes, take, _, _ = order.prefixes(batch.column("hashes"), similarity)
+            mine = batch.filter(pa.array(K.row_sums(off.has(hashes), np.concatenate([[0], np.cumsum(take)])) > 0))
+            none = pa.nulls(mine.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([mine.column("id"), none, none], names=["id", "hash", "c"])
+            held.append(np.frombuffer(b"".join(mine.column("hashes").to_pylist()), np.uint64))
             count += len(held[-1])
             if count >= 4 * _FLUSH:
                 yield told()
@@ -493,13 +530,14 @@ def _often(rows: DataFrame, order: Order) -> DataFrame:
         if count:
             yield told()
 
-    counts = rows.select("id", "hashes").mapInArrow(K.frugal(each), "hash long, c long")
-    return counts.groupBy("hash").agg(F.sum("c").alias("c")).where(F.col("c") > MOST_SHARED).select("hash")
+    return rows.select("id", "hashes").mapInArrow(K.frugal(each), "id long, hash long, c long")
 
 
 def pairs_between(asked: DataFrame, rows: DataFrame, lost: DataFrame, similarity: float, order: Order) -> DataFrame:
     """(a, b): all similar pairs of a row of asked and one of rows that isn't lost, written."""
-    mine = materialize(prefix_rows(asked, similarity, order, among=None), "asking")
+    firsts = prefix_rows(asked, similarity, order)
+    order = Order([*order.late, Bits(firsts.where("not late").groupBy("hash").count().where(F.col("count") > MOST_SHARED), "hash")])
+    mine = materialize(prefix_rows(asked, similarity, order), "asking")
     among, gone = Bits(mine, "hash"), Bits(lost, "id")
     doubtful = _kept_of(rows, gone, lost)
     theirs = prefix_rows(rows, similarity, order, lost=gone, among=among).unionByName(prefix_rows(doubtful, similarity, order, among=among))

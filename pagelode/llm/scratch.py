@@ -6,6 +6,7 @@ lost executor costs a re-read and not a recomputation, and so that identifiers m
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,3 +58,6 @@ def drop_table(*tables: DataFrame) -> None:
     for table in tables:
         for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
             drop_path(table.sparkSession, path)
+    if tables:  # exchanges that nothing refers to go when the driver collects its garbage
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
