@@ -52,6 +52,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ShardStore(spark, new_path(spark, "shards"))
     store.append(read(spark, sf_dir, "documents"))
     version = store.compact()
+    store.vacuum()
     return store.read(version).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "shard", "shard_rows", "shard_bytes", F.lit(version).cast("long").alias("version"))
 
 

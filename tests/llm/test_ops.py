@@ -206,8 +206,47 @@ def test_shards_keep_all_rows_and_reach_their_size(spark, docs, tmp_path):
     assert store.read().select(*columns).exceptAll(docs).count() == 0 and docs.exceptAll(store.read().select(*columns)).count() == 0
     plan = store.plan(store.manifest()).where("run is not null")
     assert plan.count() == 0
+    assert store.read(1).count() + docs.where("doc_id % 2 = 1").count() == docs.count()  # versions stay readable
     with pytest.raises(ConflictError):
-        store._commit(store.manifest(), version)
+        store._commit(store.manifest(), version - 1, "{}")
+    store.vacuum()
+    assert store.versions() == [version] and store.read().count() == docs.count()
+
+
+def test_of_two_writers_one_wins_and_the_other_leaves_nothing(spark, docs, tmp_path):
+    one, two = (ShardStore(spark, f"file://{tmp_path}/w") for _ in range(2))
+    two.version = lambda: 0  # both saw the empty store
+    assert one.append(docs) == 1
+    files = {str(p) for p in tmp_path.rglob("*.parquet")}
+    with pytest.raises(ConflictError):
+        two.append(docs.limit(3))
+    assert {str(p) for p in tmp_path.rglob("*.parquet")} == files and one.read().count() == docs.count()
+
+
+def test_a_store_without_rows_reads_as_an_empty_table(spark, empty, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/e")
+    with pytest.raises(ValueError, match="appended"):
+        store.read()
+    store.append(empty)
+    assert store.compact() == 1 and store.read().columns == ["shard", *empty.columns, "shard_rows", "shard_bytes"] and store.read().count() == 0
+    with pytest.raises(ValueError, match="reserved"):
+        store.append(empty.withColumn("shard_rows", F.lit(1)))
+
+
+def test_the_plan_equals_a_plain_tiering(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    shards = [(f"p{n:03d}", 1, int(b)) for n, b in enumerate(rng.integers(1, 9000, 200))]
+    store = ShardStore(spark, f"file://{tmp_path}/p", target=8000)
+    want = {}
+    for tier in range(20):
+        mine, before = sorted((b, p) for p, _, b in shards if b < 6000 and 4**tier <= b < 4 ** (tier + 1)), 0
+        runs = defaultdict(list)
+        for b, p in mine:
+            runs[before // 8000].append(p)
+            before += b
+        want |= {p: f"{tier}-{run}" for run, ps in runs.items() if len(ps) > 1 for p in ps}
+    found = store.plan(spark.createDataFrame(shards, "path string, rows long, bytes long")).collect()
+    assert {r.path: r.run for r in found if r.run} == want and len(found) == 200
 
 
 def test_shards_of_odd_rows(spark, odd, empty, tmp_path):
