@@ -55,6 +55,34 @@ def build_index(docs: DataFrame, doc: str, text: str, keys: tuple[str, ...] = ()
     return LexicalIndex(postings, lengths, stats, keys)
 
 
+#: Distinct query terms up to which their table is broadcast to the scan of the documents.
+MOST_TERMS = 500_000
+
+
+def asked_index(docs: DataFrame, doc: str, text: str, terms: DataFrame, keys: tuple[str, ...] = (), stems: bool = True) -> LexicalIndex:
+    """The index as far as the given terms (query, pos, term) need it: their postings, all lengths, and the statistics.
+
+    Texts are dealt by document once, so that words are counted, folded, stemmed and told apart without another exchange:
+    a document gives one row for each of the asked terms that it has and one for all others. The terms' table is broadcast
+    if it is small enough, else joined.
+    """
+    few = terms.select("term").distinct().withColumn("_asked", F.lit(True))
+    few = F.broadcast(few) if few.count() <= MOST_TERMS else few
+    texts = docs.select(*keys, F.col(doc).alias("doc"), F.col(text).alias("_text")).repartition(*keys, "doc")
+    words = texts.select(*keys, "doc", F.explode_outer(T.words(F.col("_text"))).alias("_word")).groupBy(*keys, "doc", "_word").agg(F.count("_word").alias("tf"))
+    whole, parts = T.fold(F.col("_word")), T.identifier_parts(F.col("_word"))
+    found = F.when(F.size(parts) > 0, F.concat(F.array(whole), F.transform(parts, lambda p: T.fold(p)))).otherwise(F.array(whole))
+    rows = words.select(*keys, "doc", F.explode(found).alias("term"), "tf")
+    if stems:
+        rows = rows.withColumn("_stem", T.stem(F.col("term")))
+        rows = rows.select(*keys, "doc", F.explode(F.when(F.col("_stem") != F.col("term"), F.array("term", "_stem")).otherwise(F.array("term"))).alias("term"), "tf")
+    rows = rows.join(few, "term", "left")
+    counts = rows.groupBy(*keys, "doc", F.when(F.col("_asked"), F.col("term")).alias("term")).agg(F.sum("tf").alias("tf")).persist()
+    lengths = counts.groupBy(*keys, "doc").agg(F.greatest(F.sum("tf"), F.lit(1)).alias("dl"))
+    stats = lengths.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return LexicalIndex(counts.where("term is not null"), lengths, stats, keys)
+
+
 def query_terms(spark: SparkSession, query: str, stems: bool = True, concat: bool = False, name: str = "q") -> DataFrame:
     """(query, pos, term): the distinct terms of one query, in order; a literal is tokenised where the plan is made."""
     found = literal.tokens(query)

@@ -61,6 +61,17 @@ def doc_index(spark: SparkSession, sf: str) -> L.LexicalIndex:
     return index
 
 
+def asked_index(spark: SparkSession, sf: str, terms: DataFrame) -> L.LexicalIndex:
+    """What the index of all documents tells of these terms."""
+    return L.asked_index(documents(spark, sf), "doc_id", "text", terms)
+
+
+def asked_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that the query's terms reach, with their scores."""
+    terms = L.query_terms(spark, QUERY)
+    return L.bm25(asked_index(spark, sf, terms), terms)
+
+
 def page_index(spark: SparkSession, sf: str) -> PageIndex:
     return PageIndex(read(spark, sf, "pages"))
 
@@ -158,7 +169,7 @@ _RANKED = "SELECT query, doc, round(score, 6) AS score, first, row_number() OVER
 
 @query(f"WITH {BM25}, r AS ({_RANKED}) SELECT doc AS doc_id, score, rank FROM r WHERE rank <= 20")
 def bm25_topk(spark, sf):
-    hits = L.ranked(L.bm25(doc_index(spark, sf), L.query_terms(spark, QUERY)), (), 20)
+    hits = L.ranked(asked_hits(spark, sf), (), 20)
     return hits.select(F.col("doc").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -168,7 +179,7 @@ _BATCH = Q.bm25("documents", f"SELECT CAST(item_id AS VARCHAR) AS query, min(pos
 @query(f"WITH {_BATCH}, r AS ({_RANKED}) SELECT query, doc AS doc_id, score, rank FROM r WHERE rank <= 10")
 def bm25_benchmark_batch(spark, sf):
     asked = L.batch_terms(read(spark, sf, "benchmark").withColumn("item_id", F.col("item_id").cast("string")), "item_id", "text")
-    hits = L.ranked(L.bm25(doc_index(spark, sf), asked), (), 10)
+    hits = L.ranked(L.bm25(asked_index(spark, sf, asked), asked), (), 10)
     return hits.select("query", F.col("doc").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -182,7 +193,7 @@ def exact_literal(spark, sf):
 
 @query(f"WITH {BM25}, r AS ({_RANKED}), e AS ({_EXACT}), top AS (SELECT count(*) AS n FROM r) SELECT doc AS doc_id, score, rank, 'ranked' AS match FROM r UNION ALL SELECT doc_id, 0.0, n + row_number() OVER (ORDER BY doc_id), 'exact' FROM e CROSS JOIN top WHERE doc_id NOT IN (SELECT doc FROM r)")
 def exact_overlay(spark, sf):
-    hits = L.ranked(L.bm25(doc_index(spark, sf), L.query_terms(spark, QUERY))).select(F.col("doc").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"), F.lit("ranked").alias("match"))
+    hits = L.ranked(asked_hits(spark, sf)).select(F.col("doc").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"), F.lit("ranked").alias("match"))
     exact = L.exact_matches(documents(spark, sf), "doc_id", "text", LITERAL).withColumnRenamed("doc", "doc_id")
     more = exact.join(hits.select("doc_id"), "doc_id", "left_anti").crossJoin(F.broadcast(hits.agg(F.count("*").alias("n"))))
     # literal hits that no term reaches; they are ranked after all others, in order
@@ -215,26 +226,27 @@ u AS (SELECT doc, 1.0 / (60 + rank) AS part, 0 AS list, rank FROM r UNION ALL SE
 f AS (SELECT doc, round(sum(part), 6) AS score, min(list * 1000 + rank) AS first FROM u GROUP BY doc)
 SELECT doc AS doc_id, score, row_number() OVER (ORDER BY score DESC, first, doc) AS rank FROM f""")
 def hybrid_search(spark, sf):
-    lexical = L.ranked(L.bm25(doc_index(spark, sf), L.query_terms(spark, QUERY)), (), 50)
+    lexical = L.ranked(asked_hits(spark, sf), (), 50)
     dense = V.cosine_topk(read(spark, sf, "embeddings"), _asked(spark, sf).where("query = '0'"), 50).withColumn("query", F.lit("q"))
-    return L.ranked(L.fuse([lexical, dense])).select(F.col("doc").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+    return V.hybrid(lexical, dense, k=None).select(F.col("doc").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(_SQL["hybrid_search"].replace(_DENSE, _RANKED.replace("FROM hits", "FROM (SELECT '0' AS query, doc, score, first FROM hits WHERE doc % 2 = 1)")))
 def rrf_fusion(spark, sf):
     """The ranking fused with that of every other document."""
-    hits = L.bm25(doc_index(spark, sf), L.query_terms(spark, QUERY))
+    hits = asked_hits(spark, sf)
     return L.ranked(L.fuse([L.ranked(hits, (), 50), L.ranked(hits.where("doc % 2 = 1"), (), 50)])).select(F.col("doc").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
-_DICE = f"2.0 * len(list_intersect({Q.trigrams('text')}, {Q.trigrams(repr(LITERAL))})) / (len({Q.trigrams('text')}) + len({Q.trigrams(repr(LITERAL))}))"
+PART = "smal rings"
+_DICE = f"2.0 * len(list_intersect({Q.trigrams('p_name')}, {Q.trigrams(repr(PART))})) / (len({Q.trigrams('p_name')}) + len({Q.trigrams(repr(PART))}))"
 
 
-@query(f"SELECT item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM (SELECT item_id, round({_DICE}, 6) AS score FROM benchmark WHERE {_DICE} >= 0.01)")
+@query(f"SELECT p_partkey, score, rank FROM (SELECT p_partkey, score, row_number() OVER (ORDER BY score DESC, p_partkey) AS rank FROM (SELECT p_partkey, round({_DICE}, 6) AS score FROM part WHERE {_DICE} >= 0.12)) WHERE rank <= 20")
 def fuzzy_dice(spark, sf):
-    score = F.round(T.dice(T.trigrams(F.lit(LITERAL)), T.trigrams(F.col("text"))), 6)
-    found = read(spark, sf, "benchmark").select("item_id", score.alias("score")).where("score >= 0.01")
-    return found.withColumn("rank", F.expr("row_number() OVER (ORDER BY score DESC, item_id)").cast("long"))
+    """Misspelt names: the fuzzy fallback's best, at its floor."""
+    found = L.fuzzy(read(spark, sf, "part"), "p_partkey", "p_name", PART, k=20)
+    return found.select(F.col("doc").alias("p_partkey"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 # --- what terms tell ----------------------------------------------------------------------------------------------
@@ -243,7 +255,8 @@ _SHARES = f"{BM25}, sh AS (SELECT q.term, q.pos, df.df, n, df.df / n AS share FR
 
 
 def _shares(spark, sf):
-    return L.term_shares(doc_index(spark, sf), L.query_terms(spark, QUERY))
+    terms = L.query_terms(spark, QUERY)
+    return L.term_shares(asked_index(spark, sf, terms), terms)
 
 
 @query(f"WITH {_SHARES} SELECT term, pos, df FROM inf")
@@ -282,13 +295,13 @@ def confidence_bands(spark, sf):
 @query(f"WITH {_BATCH}, r AS ({_RANKED}) SELECT query, max(CASE WHEN rank = 1 THEN score END) AS top, max(CASE WHEN rank = 2 THEN score END) AS runner_up, coalesce(max(CASE WHEN rank = 2 THEN score END) / max(CASE WHEN rank = 1 THEN score END) > 0.85, false) AS ambiguous FROM r WHERE rank <= 2 GROUP BY query")
 def ambiguity_gate(spark, sf):
     asked = L.batch_terms(read(spark, sf, "benchmark").withColumn("item_id", F.col("item_id").cast("string")), "item_id", "text")
-    return L.ambiguity(L.ranked(L.bm25(doc_index(spark, sf), asked), (), 2))
+    return L.ambiguity(L.ranked(L.bm25(asked_index(spark, sf, asked), asked), (), 2))
 
 
 @query(f"WITH {BM25}, p AS (SELECT doc, round(score * CASE WHEN source IN ('src1', 'src2', 'src3') THEN 0.35 ELSE 1 END * CASE WHEN lang = 'de' THEN 0.5 ELSE 1 END, 6) AS score FROM hits JOIN documents ON doc = doc_id) SELECT doc AS doc_id, score, row_number() OVER (ORDER BY score DESC, doc) AS rank FROM p")
 def structural_prior(spark, sf):
     """The prior with sources as landmarks and a language as a citation section."""
-    hits = L.bm25(doc_index(spark, sf), L.query_terms(spark, QUERY)).join(read(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "source", "lang"), "doc")
+    hits = asked_hits(spark, sf).join(read(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "source", "lang"), "doc")
     mark = F.when(F.col("source").isin("src1", "src2", "src3"), "navigation").otherwise("")
     score = FIND.structural_prior(F.col("score"), mark, F.lit(0.0), F.when(F.col("lang") == "de", F.array(F.lit("References"))).otherwise(F.array(F.lit("Text"))))
     found = hits.select(F.col("doc").alias("doc_id"), F.round(score, 6).alias("score"))
@@ -298,7 +311,7 @@ def structural_prior(spark, sf):
 @query(f"WITH {BM25}, r AS ({_RANKED}), g AS (SELECT r.*, row_number() OVER (PARTITION BY source, lang ORDER BY rank) AS n FROM r JOIN documents ON doc = doc_id) SELECT doc AS doc_id, score, row_number() OVER (ORDER BY rank) AS rank FROM g WHERE n = 1")
 def region_coalesce(spark, sf):
     """The first hit of each region, a document's region being its source and language."""
-    hits = L.ranked(L.bm25(doc_index(spark, sf), L.query_terms(spark, QUERY)))
+    hits = L.ranked(asked_hits(spark, sf))
     d = read(spark, sf, "documents").select("doc_id", F.col("source").alias("landmark"), F.array("lang").alias("heading_path"))
     rows = hits.withColumnRenamed("doc", "target_id").join(d.withColumnRenamed("doc_id", "target_id"), "target_id")
     rows = rows.select("*", F.lit(0).alias("page_id"), F.lit("passage").alias("kind"), F.lit(True).alias("is_primary"), F.lit(None).cast("string").alias("landmark_name"))
@@ -309,7 +322,7 @@ def region_coalesce(spark, sf):
 def paginate_window(spark, sf):
     from pagelode.operators.budget import paginate
 
-    page = paginate(L.ranked(L.bm25(doc_index(spark, sf), L.query_terms(spark, QUERY))), "rank", ("doc", "score"), 5, 10)
+    page = paginate(L.ranked(asked_hits(spark, sf)), "rank", ("doc", "score"), 5, 10)
     return page.rows.select(F.col("doc").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"), F.lit(page.matched).cast("long").alias("matched"), F.lit(page.truncated).alias("truncated"))
 
 
@@ -322,7 +335,7 @@ def best_sentence(spark, sf):
     """The sentence of each of the first twenty documents that holds most of the query; the earliest of equal ones."""
     shares = _shares(spark, sf)
     useful = L.reachable(L.informative(shares)).select("term").distinct()
-    top = L.ranked(L.bm25(doc_index(spark, sf), L.query_terms(spark, QUERY)), (), 20).select(F.col("doc").alias("doc_id"))
+    top = L.ranked(asked_hits(spark, sf), (), 20).select(F.col("doc").alias("doc_id"))
     rows = T.sentence_rows(documents(spark, sf).join(top, "doc_id", "left_semi"), ["doc_id"], "text")
     hit = rows.select("doc_id", "n", F.explode(F.array_distinct(T.tokens(F.col("sentence")))).alias("term")).join(useful, "term").groupBy("doc_id", "n").agg(F.count("*").alias("hit"))
     best = hit.groupBy("doc_id").agg(F.max(F.struct("hit", (-F.col("n")).alias("early"))).alias("b")).select("doc_id", "b.hit", (-F.col("b.early")).alias("n"))
@@ -378,10 +391,9 @@ def address_ordinals(spark, sf):
 
 @query(f"SELECT page_id, trim(regexp_replace(CASE WHEN contains(name, name) THEN name || ' link ' END, '\\s+', ' ', 'g')) AS document, n FROM ({_LINKS})")
 def control_docs(spark, sf):
-    """Documents of links without affordances; their rows repeat their names."""
+    """The documents that links are found by."""
     rows = page_index(spark, sf).controls.where("role = 'link'")
-    plain = rows.withColumn("n", F.expr("row_number() OVER (PARTITION BY page_id ORDER BY seq)").cast("long"))
-    return plain.withColumn("document", F.when(F.size("affordances") == 0, F.col("document")).otherwise(F.concat_ws(" ", "name", F.lit("link")))).select("page_id", "document", "n")
+    return rows.select("page_id", "document", F.expr("row_number() OVER (PARTITION BY page_id ORDER BY seq)").cast("long").alias("n"))
 
 
 @query()
