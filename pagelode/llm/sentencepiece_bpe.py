@@ -143,50 +143,51 @@ def merge_spans(v: Vocabulary, symbols: np.ndarray, edge: np.ndarray, key: np.nd
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for s in np.flatnonzero(size > LONG_SPAN).tolist():
         done.append(_long_span(v, symbols[edge[s] : edge[s + 1]], s, key[s], threshold))
+    ids = np.flatnonzero((size <= LONG_SPAN) & (size > 0))  # the spans that still merge
+    count = size[ids]
     small = size[span] <= LONG_SPAN
-    span, place, symbol = span[small], place[small], symbols[small].astype(np.int64)
-
-    def candidates(at: np.ndarray) -> np.ndarray:
-        """Ranks of merging the symbols at `at` with their successors."""
-        out = np.full(len(at), NEVER, np.int64)
-        ok = np.flatnonzero(at + 1 < len(span))
-        ok = ok[span[at[ok]] == span[at[ok] + 1]]
-        a = at[ok]
-        found = v.merge_rank(symbol[a], symbol[a + 1])
+    place, symbol = place[small], symbols[small].astype(np.int64)
+
+    def candidates(at: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Rank and place of merging the symbols at `at` with their successors, which the spans `of` have."""
+        left, right = symbol[at], symbol[at + 1]
+        found = v.merge_rank(left, right)
         if threshold or offered is not None:
             can = np.flatnonzero(found < NEVER)
-            b = a[can]
-        if offered is not None:
-            offered.append((span[b], place[b], symbol[b], symbol[b + 1]))
-        if threshold:
-            skip = _skipped(key[span[b]], place[b], symbol[b], symbol[b + 1], threshold)
-            found[can[skip]] = NEVER
-        out[ok] = found
-        return out
-
-    rank = candidates(np.arange(len(span)))
-    while len(span):
-        lead = np.flatnonzero(np.concatenate([[True], span[1:] != span[:-1]]))
-        count = np.diff(np.append(lead, len(span)))
-        best = np.minimum.reduceat(rank << 8 | place, lead)
+            about = of[can], place[at[can]], left[can], right[can]
+            if offered is not None:
+                offered.append(about)
+            if threshold:
+                found[can[_skipped(key[about[0]], *about[1:], threshold)]] = NEVER
+        return found << 8 | place[at]
+
+    score = np.full(len(place), NEVER << 8)
+    last = np.zeros(len(place), bool)
+    last[np.cumsum(count) - 1] = True
+    pairs = np.flatnonzero(~last)
+    score[pairs] = candidates(pairs, span[small][pairs])
+    while len(ids):
+        best = np.minimum.reduceat(score, np.cumsum(count) - count)
         live = best < NEVER << 8
-        stay = np.repeat(live, count)
         if not live.all():
-            done.append((span[~stay], place[~stay], symbol[~stay]))
-        if not live.any():
-            break
-        target = np.repeat(best, count)
-        span, place, symbol, rank, target = span[stay], place[stay], symbol[stay], rank[stay], target[stay]
-        at = np.flatnonzero((rank << 8 | place) == target)
-        symbol[at] = v.by_rank[rank[at]]
-        keep = np.ones(len(span), bool)
+            stay = np.repeat(live, count)
+            done.append((np.repeat(ids[~live], count[~live]), place[~stay], symbol[~stay]))
+            place, symbol, score, ids, count, best = place[stay], symbol[stay], score[stay], ids[live], count[live], best[live]
+            if not len(ids):
+                break
+        # every span merges one pair, its best and leftmost
+        at = np.flatnonzero(score == np.repeat(best, count))
+        symbol[at] = v.by_rank[best >> 8]
+        keep = np.ones(len(place), bool)
         keep[at + 1] = False
-        moved = np.cumsum(keep) - 1
-        span, place, symbol, rank = span[keep], place[keep], symbol[keep], rank[keep]
-        at = moved[at]
-        before = at[(at > 0) & (span[np.maximum(at - 1, 0)] == span[at])] - 1
-        touched = np.concatenate([at, before])
-        rank[touched] = candidates(touched)
+        place, symbol, score = place[keep], symbol[keep], score[keep]
+        at -= np.arange(len(at))
+        count -= 1
+        end = np.cumsum(count)
+        score[at] = NEVER << 8
+        after, before = np.flatnonzero(at + 1 < end), np.flatnonzero(at > end - count)
+        touched = np.concatenate([at[after], at[before] - 1])
+        score[touched] = candidates(touched, np.concatenate([ids[after], ids[before]]))
     if not done:
         none = np.zeros(0, np.int64)
         return none, none, none
