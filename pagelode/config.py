@@ -145,6 +145,8 @@ class EngineConfig:
     manifest: ManifestConfig = field(default_factory=ManifestConfig)
     discovery: DiscoveryConfig = field(default_factory=DiscoveryConfig)
     redact: Callable[[str], str] | None = None
+    #: Name patterns by what they afford, in place of the built-in ones; unreadable and long ones are left out.
+    patterns: Mapping[str, str] | None = None
 
 
 def _sane(default: Any, value: Any) -> Any:

@@ -72,7 +72,7 @@ class PageIndex:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return html.node_rows(self.projected)
+        return html.node_rows(self.projected, self.cfg)
 
     @cached_property
     def chunks(self) -> DataFrame:

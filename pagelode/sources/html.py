@@ -17,15 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelode.config import DEFAULTS, EngineConfig
-from pagelode.functions.affordances import affordances_of, primary_input
+from pagelode.functions.affordances import PATTERNS, Signals, affordance_pairs, primary_field, usable
 from pagelode.sources import aria
 from pagelode.sources.jsonld import clean_html, prose, question_answers
 from pagelode.sources.tree import Element, Selector, parse
 
 NODE = """seq int, el int, tag string, role string, landmark string, landmark_name string, name string, text string,
-heading_path array<string>, level int, row string, states map<string,string>, affordances array<string>,
-affordance_via map<string,string>, controls_name string, controls array<int>, interactive boolean, inert boolean,
-visible boolean, actionable boolean, is_heading boolean, is_primary boolean, collapsed boolean, non_text string,
+heading_path array<string>, level int, row string, states map<string,string>, controls_name string, controls array<int>, interactive boolean, inert boolean,
+visible boolean, actionable boolean, is_heading boolean, is_primary boolean, in_main boolean, collapsed boolean, non_text string,
 parent int, ancestors array<int>, href string, attrs map<string,string>, selector string, form int, frame string"""
 OPAQUE = "el int, tag string, role string, src string, filename_hint string, chart_library string, landmark string, heading_path array<string>, reason string, rejected array<struct<text:string,reason:string>>"
 QA = "question string, answer string, source string"
@@ -42,6 +41,13 @@ logo placeholder decoration decorative null none undefined empty
 """.split())
 CHART_LIBRARIES = (("highcharts", "highcharts"), ("recharts", "recharts-wrapper"), ("vega", "vega"), ("plotly", "js-plotly-plot"))
 FILE_NAME = re.compile(r"\.(jpe?g|png|gif|webp|svgz?|avif|bmp|ico|tiff?)\s*$", re.I)
+#: (reason, condition of a description and its bare words), in the order in which they count.
+NO_USE = (
+    ("EMPTY", lambda told, _: not told),
+    ("FILENAME", lambda told, _: bool(FILE_NAME.search(told))),
+    ("PLACEHOLDER", lambda _, bare: bare in PLACEHOLDERS),
+)
+TOO_LITTLE = (("NUMERIC_ONLY", lambda _, bare: bare.isdigit()), ("TOO_SHORT", lambda _, bare: len(bare) < 2))
 IGNORE = "data-pagelode-ignore"
 MAX_CONTENT_NAME = 200
 #: Sizes of headings by default, in multiples of 16 pixels.
@@ -54,6 +60,11 @@ def squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
+def bare_words(text: str) -> str:
+    """A description in lower case, separators as spaces and without punctuation."""
+    return re.sub(r"[^\w ]|_", "", re.sub(r"[_\-\s]+", " ", text.strip().lower())).strip()
+
+
 @dataclass
 class Heading:
     scope: Element
@@ -96,7 +107,6 @@ class Projector:
         self.root = next((e for e in self.document.walk() if e.tag == "body"), self.document)
         self.primary = self._primary_root()
         self.modal = next((e for e in self.root.walk() if e.attrs.get("aria-modal") == "true" and (e.tag != "dialog" or "open" in e.attrs) and self.visible(e)), None)
-        self.first_input = primary_input(self.root, self)
         self.headings: list[Heading] = []
         self.rows: list[Element] = []
         self.names: dict[int, str] = {}
@@ -360,10 +370,9 @@ class Projector:
         form = next((p for p in el.ancestors() if p.tag == "form"), None)
         node = {
             "seq": len(self.out.nodes), "el": el.index, "tag": el.tag, "role": role, "landmark": landmark, "landmark_name": label,
-            "name": None, "text": text, "heading_path": path, "level": None, "row": None, "states": {}, "affordances": [],
-            "affordance_via": {}, "controls_name": None, "controls": [], "interactive": False, "inert": False, "visible": True,
+            "name": None, "text": text, "heading_path": path, "level": None, "row": None, "states": {}, "controls_name": None, "controls": [], "interactive": False, "inert": False, "visible": True,
             "actionable": False, "is_heading": False, "is_primary": el is self.primary or any(p is self.primary for p in el.ancestors()),
-            "collapsed": False, "non_text": None, "parent": el.parent.index if el.parent is not None else -1,
+            "in_main": any(p.tag == "main" or p.attrs.get("role") == "main" for p in el.ancestors()), "collapsed": False, "non_text": None, "parent": el.parent.index if el.parent is not None else -1,
             "ancestors": [p.index for p in el.ancestors()], "href": href, "attrs": dict(el.attrs), "selector": self.selector(el) if more.get("interactive") else None,
             "form": form.index if form is not None else None, "frame": None,
         } | more
@@ -425,13 +434,12 @@ class Projector:
         more: dict = {"row": row, "visible": shown, "is_heading": role == "heading" and shown, "level": level, "collapsed": collapsed}
         if interactive:
             governed = self.controlled(el)
-            hits = affordances_of(el, role, self.name(el), landmark, self, bool(governed))
             inside = self.modal is None or el is self.modal or any(p is self.modal for p in el.ancestors())
             inert = not inside or "inert" in el.attrs or any("inert" in p.attrs for p in el.ancestors())
             states = self.states(el)
             more |= {
                 "name": self.name(el) or None, "states": states, "interactive": True, "inert": inert,
-                "affordances": [a for a, _ in hits], "affordance_via": dict(hits), "controls": [g.index for g in governed],
+                "controls": [g.index for g in governed],
                 "controls_name": " ".join(n for g in governed if (n := self.name(g) or self._first_heading(g))) or None,
                 "actionable": shown and not collapsed and not self.transparent(el) and states.get("disabled") != "true",
             }
@@ -470,33 +478,31 @@ class Projector:
 
     # --- what isn't text --------------------------------------------------------------------------------------------
 
-    @staticmethod
-    def _poor(text: str) -> str | None:
-        """Why a description is no use, if it isn't."""
-        text = text.strip()
-        if not text:
-            return "EMPTY"
-        if FILE_NAME.search(text):
-            return "FILENAME"
-        bare = re.sub(r"[^\w ]|_", "", re.sub(r"[_\-\s]+", " ", text.lower())).strip()
-        return "PLACEHOLDER" if bare in PLACEHOLDERS else None
+    def _poor(self, text: str) -> str | None:
+        """Why a description is no use whatever it stands by, if it isn't."""
+        return next((reason for reason, holds in NO_USE if holds(text.strip(), bare_words(text))), None)
 
     def _rejects(self, text: str, el: Element) -> str | None:
-        if reason := self._poor(text):
-            return reason
-        bare = re.sub(r"[^\w ]|_", "", re.sub(r"[_\-\s]+", " ", text.strip().lower())).strip()
-        if bare.isdigit():
-            return "NUMERIC_ONLY"
-        if len(bare) < 2:
-            return "TOO_SHORT"
-        link = next((p for p in el.ancestors() if p.tag in ("a", "button")), None)
-        if link is not None and squeeze("".join(link.texts())).lower() == text.strip().lower():
-            return "REDUNDANT_WITH_LINK_TEXT"
-        mates = el.parent.elements() if el.parent is not None else []
-        at = next((n for n, e in enumerate(mates) if e is el), 0)
-        if at and mates[at - 1].tag == "img" and (mates[at - 1].attrs.get("alt") or "").strip().lower() == text.strip().lower():
-            return "REDUNDANT_WITH_ADJACENT_IMAGE"
-        return None
+        """Why a description is no use for an element: the first reason that holds."""
+        told, bare = text.strip(), bare_words(text)
+        alone = next((reason for reason, holds in (*NO_USE, *TOO_LITTLE) if holds(told, bare)), None)
+        beside = (reason for reason, said in (("REDUNDANT_WITH_LINK_TEXT", self._pressed_text), ("REDUNDANT_WITH_ADJACENT_IMAGE", self._image_before)) if said(el) == told.lower())
+        return alone or next(beside, None)
+
+    @staticmethod
+    def _pressed_text(el: Element) -> str | None:
+        """What the link or button around an element says in text."""
+        return next((squeeze("".join(p.texts())).lower() for p in el.ancestors() if p.tag in ("a", "button")), None)
+
+    @staticmethod
+    def _image_before(el: Element) -> str | None:
+        """The description of the image just before an element."""
+        last = None
+        for mate in el.parent.elements() if el.parent is not None else ():
+            if mate is el:
+                break
+            last = mate
+        return (last.attrs.get("alt") or "").strip().lower() if last is not None and last.tag == "img" else None
 
     def _chart(self, el: Element) -> tuple[str | None, str]:
         near = [el, *el.ancestors()][:4]
@@ -595,9 +601,15 @@ def _struct(columns: str) -> str:
     return ", ".join(f"{p.split(' ', 1)[0]}: {p.split(' ', 1)[1].strip()}" for p in parts)
 
 
-def node_rows(projected: DataFrame) -> DataFrame:
-    """(page_id, seq, ...): a row for each node, with its place among nodes of the same identity."""
-    rows = projected.select("page_id", F.inline("nodes"))
+def node_rows(projected: DataFrame, cfg: EngineConfig = DEFAULTS) -> DataFrame:
+    """(page_id, seq, ...): a row for each node, with what it affords and its place among nodes of the same identity."""
+    told = projected.select("page_id", F.col("url").alias("_url"), F.col("lang").alias("_lang"), primary_field(F.col("nodes")).alias("_first"), "nodes")
+    rows = told.select("page_id", "_url", "_lang", "_first", F.inline("nodes"))
+    signals = Signals(usable(PATTERNS if cfg.patterns is None else cfg.patterns), F.col("_url"), F.col("_lang"), F.col("_first"))
+    rows = rows.withColumn("_pairs", affordance_pairs(signals))
+    # the last of several ways to the same affordance is told
+    rows = rows.withColumn("affordances", F.col("_pairs.affordance")).withColumn("affordance_via", F.aggregate("_pairs", F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["affordance"]), F.create_map(p["affordance"], p["via"]))))
+    rows = rows.drop("_url", "_lang", "_first", "_pairs")
     identity = "page_id, frame, role, name, landmark, landmark_name, array_join(heading_path, '\x1f'), row"
     rows = rows.withColumn("ordinal", F.expr(f"row_number() OVER (PARTITION BY {identity} ORDER BY seq) - 1"))
     return rows.withColumn("peer_count", F.expr(f"count(*) OVER (PARTITION BY {identity})"))

@@ -221,3 +221,42 @@ def test_inline_frames_are_read_only_when_asked_for():
     assert "Inside" not in str(project_page(page).nodes)
     found = project_page(page, None, configure({"project": {"frames": True}})).nodes
     assert [n["frame"] for n in found if "Inside" in n["text"]] == ["0"]
+
+
+def afforded(spark, body: str, cfg=None, lang: str = "en", url: str = "https://here.example/a/b") -> dict:
+    from pagelode.operators.page_index import PageIndex
+
+    pages = spark.createDataFrame([(1, url, f"<html lang={lang}><body>{body}</body></html>")], "page_id long, url string, html string")
+    nodes = (PageIndex(pages) if cfg is None else PageIndex(pages, cfg)).nodes.where("interactive")
+    return {r["attrs"].get("data-k", r["name"]): dict(r["affordance_via"]) for r in nodes.collect()}
+
+
+def test_what_controls_afford(spark):
+    body = """
+    <a data-k=1 rel=next href=/2>x</a><a data-k=2 rel="previous nofollow" href=/0>y</a><a data-k=3 href=/3>Next page</a><a data-k=4 href=/3>What is next</a>
+    <a data-k=5 hreflang=de href=/de>DE</a><a data-k=6 lang=fr href=/fr>Accueil</a><a data-k=7 href=/vi>Tiếng Việt</a><a data-k=8 href=/id>Indonesian</a>
+    <a data-k=9 href=/e>English muffins</a><a data-k=10 target=_blank href=/x>Docs</a><a data-k=11 href="https://other.example/">Out</a><a data-k=12 href="//here.example/c">In</a>
+    <main><form><input data-k=13 type=search><input data-k=14 name=q></form></main><form><button data-k=15 type=submit>Go</button></form>
+    <button data-k=16 type=button>Place order</button><button data-k=17 type=button>Delete all</button><button data-k=18 type=button>Add to bag</button>
+    <input data-k=19 type=checkbox aria-label=Terms><button data-k=20 type=button aria-controls=p>More info</button><div id=p>Panel</div>
+    <button data-k=21 type=button command=--spin>Spin</button><button data-k=22 type=button popovertarget=p>Menu</button><a data-k=23 href=/l>3 languages</a>"""
+    found = afforded(spark, body)
+    want = {
+        "1": {"pagination-next": "rel=next"}, "2": {"pagination-prev": "rel=prev"}, "3": {"pagination-next": "name-pattern"}, "4": {},
+        "5": {"language-switcher": "hreflang"}, "6": {"language-switcher": "lang"}, "7": {"language-switcher": "language-name"},
+        "8": {"language-switcher": "language-name"}, "9": {}, "10": {"external": "target=_blank"}, "11": {"external": "cross-origin"}, "12": {},
+        "13": {"search": "role", "primary-input": "sole-field"}, "14": {"search": "name-pattern"}, "15": {"submit": "type=submit"},
+        "16": {"submit": "name-pattern"}, "17": {"destructive": "name-pattern"}, "18": {"add-to-cart": "name-pattern"}, "19": {"toggle": "role"},
+        "20": {"discloses": "aria-controls"}, "21": {"spin": "command"}, "22": {"discloses": "popovertarget"}, "23": {"language-switcher": "name-pattern"},
+    }
+    assert {k: v for k, v in found.items() if k in want} == want
+
+
+def test_the_first_field_and_patterns_of_ones_own(spark):
+    two = "<form><input data-k=a><input data-k=b></form><form><input data-k=c></form>"
+    assert [k for k, v in afforded(spark, two).items() if "primary-input" in v] == ["c"]
+    assert [k for k, v in afforded(spark, f"{two}<main><form><input data-k=d><input data-k=e></form></main>").items() if "primary-input" in v] == ["d"]
+    assert afforded(spark, f"{two}<input data-k=f autofocus>")["f"]["primary-input"] == "autofocus"
+    cfg = configure({"patterns": {"bid": r"\bbid\b", "search": "(", "submit": "x" * 300}})
+    assert afforded(spark, "<button data-k=a type=button>Search</button><button data-k=b type=button>Bid now</button>", cfg) == {"a": {}, "b": {"bid": "name-pattern"}}
+    assert afforded(spark, "<a data-k=a href=/>Deutsch</a><a data-k=b href=/>allemand</a>", lang="fr") == {k: {"language-switcher": "language-name"} for k in "ab"}
