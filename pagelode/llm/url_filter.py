@@ -33,7 +33,7 @@ RULES = (
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b)[^>]*\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?\burl\s*=\s*([^"'>\s]+)"""
+_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'>\s]+)"""
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -80,10 +80,10 @@ def resolved(base: Column, link: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): each page's URL and the URLs that its canonical link and its refresh name."""
+    """(a, b): each page's URL and the URLs that its canonical links and its refreshes name."""
     told = pages.where(F.col("html").rlike("(?i)canonical|http-equiv") & F.col("url").isNotNull())
-    canonical = F.concat(*[F.coalesce(F.regexp_extract("html", _CANONICAL, n), F.lit("")) for n in (1, 2, 3)])
-    links = F.array(canonical, F.regexp_extract("html", _REFRESH, 1))
+    found = [(_CANONICAL, 1), (_CANONICAL, 2), (_CANONICAL, 3), (_REFRESH, 1)]
+    links = F.array_distinct(F.concat(*[F.regexp_extract_all("html", F.lit(pattern), F.lit(n)) for pattern, n in found]))
     links = told.select("url", F.explode(links).alias("link"))
     return links.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("url"), F.col("link"))).alias("b")).where("b is not null and a <> b")
 

@@ -338,6 +338,19 @@ def test_url_verdicts_follow_rules_and_aliases(spark):
     assert URL.url_filter(pages.limit(0)).count() == 0
 
 
+def test_all_links_of_a_page_make_aliases(spark):
+    from pagelode.llm.url_filter import alias_edges
+
+    heads = {
+        1: '<link rel=canonical href="https://a.net/x"><link rel="canonical" href=/y>', 2: """<meta http-equiv="refresh" content="0; url='https://a.net/fr/x'">""",
+        3: "<meta http-equiv=refresh content=0;url=https://a.net/z>", 4: '<meta http-equiv="refresh" content="5"><p>canonical', 5: None,
+    }
+    rows = spark.createDataFrame([(n, f"https://p.org/{n}", h) for n, h in heads.items()], "page_id long, url string, html string")
+    assert sorted((r.a, r.b) for r in alias_edges(rows).collect()) == [
+        ("https://p.org/1", "https://a.net/x"), ("https://p.org/1", "https://p.org/y"), ("https://p.org/2", "https://a.net/fr/x"), ("https://p.org/3", "https://a.net/z"),
+    ]
+
+
 def test_components_equal_union_find(spark):
     rng = np.random.default_rng(5)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + n, 1001 + n) for n in range(60)] + [(None, 1), (5, 5)]
