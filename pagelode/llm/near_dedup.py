@@ -10,8 +10,8 @@ by id; within a part, in order of id, a document is dropped for the first kept o
 ones kept in a group's parts then meet once more, and those that went for one that went there are compared with the
 group's kept ones; without a similar one they are left to the second step.
 2. All similar pairs of those that are left are found exactly: two sets of similarity t share one of their first
-n - ceil(t n) + 1 hashes in any common order. A hash that more than MOST_SHARED sets meet in is put off: it comes last in
-the order, and only the sets that met in it are asked again, until no new such hash turns up. Sizes, then signatures
+n - ceil(t n) + 1 hashes in any common order. One pass counts in how many sets the hashes occur; those in more than
+MOST_SHARED come later in the order, those in many times more later still. Sizes, then signatures
 (the parity of the hashes in each of 2 n cells or more: two of them can't differ in more cells than the sets differ in
 hashes) rule pairs out before sets are compared. Along the pairs, in order of id, a document goes if a smaller one that
 stays is similar.
@@ -20,9 +20,10 @@ back, in order of id and unless similar to one that came back before. So no docu
 
 None of this depends on the number of partitions or on the size of the corpus.
 
-Scale. The sets are written once (8 bytes a word); what is shuffled is a fifth of them as (hash, id, size), the members of
-groups, and the sets of pairs that the signatures leave. Bitmaps are bounded (bits.py). Quadratic work remains only among
-sets of which four fifths are widely shared hashes, which no group of fingerprints united and which differ nonetheless.
+Scale. The sets are written once (8 bytes a word); what is shuffled is a fifth of them as (hash, id, size), all hashes as
+compressed cells (one or two bytes each), the members of groups, and the sets of pairs that the signatures leave. Bitmaps
+are bounded (bits.py). Quadratic work remains only among sets of which four fifths are widely shared hashes, which no group
+of fingerprints united and which differ nonetheless.
 
 Defined cases. Fewer words than a shingle: the whole sequence is the only shingle. No words: all such texts are
 copies of each other. Null ids stay, as nothing tells which row to keep. Rows of one id are one document, of the union
@@ -50,8 +51,10 @@ SHINGLE, RADIUS, SIMILARITY = 5, S.RADIUS, 0.8
 SALTS = 64
 #: Parts of a group that are each given all of its kept sets.
 ASKING_SALTS = 8
-#: Sets that may meet in a hash without its being put off.
-MOST_SHARED = 16
+#: Sets that a hash may occur in without coming late in the order, and how many times more for each further step.
+MOST_SHARED, STEP, STEPS = 16, 16, 3
+#: Cells of the counting pass for each hash, and hashes counted together, as powers of two.
+CELLS, COUNTED_AT_ONCE = 4, 21
 SLICE_BYTES = 2 << 20
 ROWS_AT_ONCE = 1000
 _FLUSH = 1 << 20
@@ -264,32 +267,39 @@ def _copies_of_kept(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 class Order:
-    """The common order of hashes: by value, those put off behind all others."""
+    """The common order of hashes: by how many of the bitmaps of frequent ones have them, then by value.
 
-    def __init__(self, late: list[Bits] | None = None) -> None:
-        self.late = late or []
+    bits: leading bits of a hash that tell its cell; often: bitmaps of cells; more: bitmaps of whole hashes.
+    """
+
+    def __init__(self, bits: int = 64, often: list[Bits] | None = None, more: list[Bits] | None = None) -> None:
+        self.bits, self.often, self.more = bits, often or [], more or []
 
-    def put_off(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(hashes), bool)
-        for bits in self.late:
-            out |= bits.has(hashes)
+    def late(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(hashes), np.int64)
+        cells = hashes >> K.U64(64 - self.bits)
+        for held in self.often:
+            out += held.has(cells)
+        for held in self.more:
+            out += held.has(hashes)
         return out
 
+    def free(self) -> None:
+        for held in self.often + self.more:
+            held.free()
+
     def prefixes(self, column: pa.Array, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The first hashes of all sets, how many each set gave, whether they are put off, and the sets' sizes."""
+        """The first hashes of all sets, how many each set gave, whether they come late, and the sets' sizes."""
         held = [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
         size = np.array([len(x) for x in held], np.int64)
         take = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
-        if not self.late:
-            firsts = np.concatenate([*[x[:k] for x, k in zip(held, take.tolist(), strict=True)], np.zeros(0, np.uint64)])
-            return firsts, take, np.zeros(len(firsts), bool), size
         hashes = np.concatenate([*held, np.zeros(0, np.uint64)])
-        off = self.put_off(hashes)
+        off = self.late(hashes)
         row = np.repeat(np.arange(len(size)), size)
-        order = np.argsort(2 * row + off, kind="stable")
+        order = np.argsort((len(self.often) + len(self.more) + 1) * row + off, kind="stable")
         begin = np.concatenate([[0], np.cumsum(size)])[:-1]
         mine = order[np.arange(len(hashes)) - np.repeat(begin, size) < np.repeat(take, size)]
-        return hashes[mine], take, off[mine], size
+        return hashes[mine], take, off[mine] > 0, size
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,50 +308,113 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lead, np.diff(np.append(lead, len(keys)))
 
 
-def _filtered(batches: Iterator[pa.RecordBatch], lost: Bits | None, some: Bits | None) -> Iterator[pa.RecordBatch]:
-    """The rows whose id may be in some and can't be in lost."""
+def _filtered(batches: Iterator[pa.RecordBatch], lost: Bits | None) -> Iterator[pa.RecordBatch]:
+    """The rows whose id can't be in lost."""
     for batch in batches:
         if lost is not None:
             batch = batch.filter(pa.array(~lost.has(batch.column("id").to_numpy())))
-        if some is not None:
-            batch = batch.filter(pa.array(some.has(batch.column("id").to_numpy())))
         if batch.num_rows:
             yield batch
 
 
-def prefix_rows(rows: DataFrame, similarity: float, order: Order, lost: Bits | None = None, some: Bits | None = None, among: Bits | None = None) -> DataFrame:
-    """(hash, late, id, n): the first hashes of the sets of rows (id, hashes).
+def cell_block(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted cells (32 bits) and their counts, packed: gaps and counts by bytes of equal rank."""
+    gaps = np.diff(cells, prepend=cells[:1] * 0).astype("<u4")
+    planes = np.concatenate([gaps.view(np.uint8).reshape(-1, 4).T.ravel(), counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel()])
+    return pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def block_cells(block: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells and counts of a block of so many."""
+    planes = np.frombuffer(pa.Codec("zstd").decompress(block, decompressed_size=8 * size, asbytes=True), np.uint8)
+    gaps, counts = (np.ascontiguousarray(planes[k * 4 * size : (k + 1) * 4 * size].reshape(4, size).T).view("<u4").ravel() for k in range(2))
+    return np.cumsum(gaps, dtype=np.int64), counts.astype(np.int64)
+
 
-    lost: ids to leave out; some: ids to take. among: only hashes that may be members. Of a hash that isn't put off, a task needn't tell more
-    than MOST_SHARED + 1 rows at a time, as then it will be.
+def _counted(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order, with the sums of their counts."""
+    at = np.argsort(cells, kind="stable")
+    lead, _ = _runs(cells[at])
+    return cells[at][lead], np.add.reduceat(counts[at], lead) if len(lead) else counts
+
+
+def frequency_order(parts: list[tuple[DataFrame, Bits | None]]) -> Order:
+    """The order that puts hashes of few sets first: one pass counts the cells of all hashes of the sets.
+
+    parts: rows (id, n, hashes), and ids to leave out. A cell counts at least what each of its hashes does, so every hash in
+    more than MOST_SHARED sets comes late; a few others may too, which changes the order and no result.
     """
+    total = max(int(part.agg(F.sum("n")).first()[0] or 0) for part, _ in parts) or 1
+    part_bits = max(total.bit_length() - COUNTED_AT_ONCE, 0)
+    bits = part_bits + min(total.bit_length(), COUNTED_AT_ONCE) + CELLS
+    rest = bits - part_bits
+    steps = [MOST_SHARED * STEP**k for k in range(STEPS)]
+
+    def counting(without: Bits | None):
+        def told(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            cells, counts = np.unique(np.concatenate(held) >> K.U64(64 - bits), return_counts=True)
+            part = (cells >> K.U64(rest)).astype(np.int64)
+            lead, size = _runs(part)
+            inner = cells & K.U64((1 << rest) - 1)
+            blocks = [cell_block(inner[a : a + n], counts[a : a + n]) for a, n in zip(lead.tolist(), size.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[lead]), pa.array(size.astype(np.int32)), pa.array(blocks, pa.binary())], names=["part", "size", "block"])
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, count = [], 0
+            for batch in _small(_filtered(batches, without)):
+                held.append(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64))
+                count += len(held[-1])
+                if count >= 4 * _FLUSH:
+                    yield from told(held)
+                    held, count = [], 0
+            if count:
+                yield from told(held)
+
+        return each
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, count = None, [], 0
+
+        def often() -> pa.RecordBatch:
+            cells, counts = _counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            cells, counts = cells[counts > steps[0]], counts[counts > steps[0]]
+            return pa.RecordBatch.from_arrays([pa.array(cells + (now << rest)), pa.array(np.searchsorted(steps, counts).astype(np.int32))], names=["cell", "steps"])
+
+        for batch in batches:
+            for part, size, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if part != now and held:
+                    yield often()
+                    held, count = [], 0
+                now = part
+                held.append(block_cells(block, size))
+                count += size
+                if count >= 8 * _FLUSH:
+                    held = [_counted(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    count = 0
+        if held:
+            yield often()
 
-    def told(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        if among is None:
-            at = np.argsort(columns[0], kind="stable")
-            lead, size = _runs(columns[0][at])
-            nth = np.arange(len(at)) - np.repeat(lead, size)
-            told_of = np.sort(at[(nth <= MOST_SHARED) | columns[1][at]])
-            columns = [x[told_of] for x in columns]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3].astype(np.int32))], names=["hash", "late", "id", "n"])
+    blocks = _union([part.select("id", "hashes").mapInArrow(K.frugal(counting(without)), "part long, size int, block binary") for part, without in parts])
+    common = materialize(blocks.repartition("part").sortWithinPartitions("part").mapInArrow(K.frugal(summed), "cell long, steps int"), "common")
+    often = [Bits(common.where(F.col("steps") > k), "cell") for k in range(STEPS)]
+    drop_table(common)
+    return Order(bits, often)
+
+
+def prefix_rows(rows: DataFrame, similarity: float, order: Order, lost: Bits | None = None, among: Bits | None = None) -> DataFrame:
+    """(hash, late, id, n): the first hashes of the sets of rows (id, hashes).
+
+    lost: ids to leave out. among: only hashes that may be members.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-        for batch in _small(_filtered(batches, lost, some)):
+        for batch in _small(_filtered(batches, lost)):
             hashes, take, late, size = order.prefixes(batch.column("hashes"), similarity)
             ids, size = np.repeat(batch.column("id").to_numpy(), take), np.repeat(size, take)
             if among is not None:
                 may = among.has(hashes)
                 hashes, late, ids, size = hashes[may], late[may], ids[may], size[may]
-            if len(hashes):
-                held.append((hashes, late, ids, size))
-                count += len(hashes)
-            if count >= _FLUSH:
-                yield told(held)
-                held, count = [], 0
-        if held:
-            yield told(held)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(late), pa.array(ids), pa.array(size.astype(np.int32))], names=["hash", "late", "id", "n"])
 
     return rows.select("id", "hashes").mapInArrow(K.frugal(each), "hash long, late boolean, id long, n int")
 
@@ -372,7 +445,7 @@ def _pairs_in_runs(ids: np.ndarray, n: np.ndarray, lead: np.ndarray, size: np.nd
 
 
 def meetings(prefixes: DataFrame, similarity: float, sides: bool = False) -> DataFrame:
-    """(put_off, a, b): pairs that meet in a hash, a > b (sides: a of the side that is marked); and hashes to put off."""
+    """(a, b): pairs that meet in a hash, a > b (sides: a of the side that is marked)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -381,42 +454,32 @@ def meetings(prefixes: DataFrame, similarity: float, sides: bool = False) -> Dat
                 continue
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            lead, size = _runs(held[0])
+            lead, _ = _runs(held[0])
             if len(lead) > 1:
                 cut = lead[-1]
                 yield from out([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
-            elif not sides and size[0] > 4 * MOST_SHARED and not held[1][0]:  # to be put off: more rows tell nothing new
-                held = [x[: 2 * MOST_SHARED] for x in held]
         if held is not None:
             yield from out(held)
 
     def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        hashes, late, ids, n = columns[:4]
-        lead, size = _runs(hashes)
-        if not sides:
-            off = (size > MOST_SHARED) & ~late[lead]
-            if off.any():
-                yield batch(hashes[lead[off]], None)
-            lead, size = lead[~off], size[~off]
+        hashes, ids, n = columns[:3]
         found, count = [], 0
-        for pairs in _pairs_in_runs(ids, n, lead, size, similarity, columns[4] if sides else None):
+        for pairs in _pairs_in_runs(ids, n, *_runs(hashes), similarity, columns[3] if sides else None):
             found.append(pairs)
             count += len(pairs)
             if count >= _FLUSH:
-                yield batch(None, _unique_pairs(found))
+                yield batch(found)
                 found, count = [], 0
         if count:
-            yield batch(None, _unique_pairs(found))
+            yield batch(found)
 
-    def batch(off: np.ndarray | None, pairs: np.ndarray | None) -> pa.RecordBatch:
-        rows = len(off) if off is not None else len(pairs)
-        none = pa.nulls(rows, pa.int64())
-        columns = [none if off is None else pa.array(off), *[none if pairs is None else pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)]]
-        return pa.RecordBatch.from_arrays(columns, names=["put_off", "a", "b"])
+    def batch(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = _unique_pairs(found)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)], names=["a", "b"])
 
-    keys = ["hash", "late", "id", "n", *["asks"] * sides]
-    return prefixes.select(*keys).repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(K.frugal(each), "put_off long, a long, b long")
+    keys = ["hash", "id", "n", *["asks"] * sides]
+    return prefixes.select(*keys).repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(K.frugal(each), "a long, b long")
 
 
 def _unique_pairs(found: list[np.ndarray]) -> np.ndarray:
@@ -455,33 +518,19 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_pairs(rows: DataFrame, similarity: float, lost: DataFrame | None = None) -> tuple[DataFrame, Order]:
-    """(a, b), a > b: all similar pairs among rows whose id isn't lost, written; and the last order of the hashes."""
-    order, pairs, tables, held = Order(), [], [], []
-    parts, some = [(rows, None)], None
+    """(a, b), a > b: all similar pairs among rows whose id isn't lost, written; and the order of the hashes."""
+    parts, gone, doubtful = [(rows, None)], None, None
     if lost is not None:
         gone = Bits(lost, "id")
         doubtful = _kept_of(rows, gone, lost)
         parts = [(rows, gone), (doubtful, None)]
-        tables.append(doubtful)
-        held.append(gone)
-    while True:
-        met = materialize(meetings(_union([prefix_rows(part, similarity, order, without, some=some) for part, without in parts]), similarity), "meetings")
-        tables.append(met)
-        pairs.append(met.where("a is not null").select("a", "b"))
-        off = met.where("put_off is not null").select(F.col("put_off").alias("hash"))
-        if off.isEmpty():
-            break
-        new = Bits(off, "hash")
-        again = materialize(_union([_meeting(part, similarity, order, new, without, some) for part, without in parts]), "again")
-        often = again.where("c is not null").groupBy("hash").agg(F.sum("c").alias("c")).where(F.col("c") > MOST_SHARED).select("hash")
-        some = Bits(again.where("id is not null"), "id")
-        order = Order([*order.late, new, Bits(often, "hash")])
-        held.append(some)
-        drop_table(again)
-    found = verified(_union(pairs), rows, similarity)
-    drop_table(*tables)
-    for bits in held:
-        bits.free()
+    order = frequency_order(parts)
+    met = materialize(meetings(_union([prefix_rows(part, similarity, order, without) for part, without in parts]), similarity), "meetings")
+    found = verified(met, rows, similarity)
+    drop_table(met)
+    if gone is not None:
+        drop_table(doubtful)
+        gone.free()
     return found, order
 
 
@@ -499,44 +548,14 @@ def _kept_of(rows: DataFrame, gone: Bits, lost: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(gone.has(batch.column("id").to_numpy())))
 
-    held = rows.select("id", "hashes").mapInArrow(K.frugal(doubtful), "id long, hashes binary")
+    held = rows.select("id", "n", "hashes").mapInArrow(K.frugal(doubtful), "id long, n int, hashes binary")
     return materialize(held.join(lost.select("id").distinct(), "id", "left_anti"), "doubtful")
 
 
-def _meeting(rows: DataFrame, similarity: float, order: Order, off: Bits, lost: Bits | None, some: Bits | None) -> DataFrame:
-    """(id, hash, c): the ids of sets whose first hashes may be among those to put off; and of these sets' hashes, how
-    often each was seen in a task, if twice or more. What is put off beside is free to choose, and common ones save rounds."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [np.zeros(0, np.uint64)], 0
-
-        def told() -> pa.RecordBatch:
-            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts > 1
-            hashes, counts = hashes[often], counts[often]
-            new = ~order.put_off(hashes)
-            return pa.RecordBatch.from_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(hashes[new].view(np.int64)), pa.array(counts[new])], names=["id", "hash", "c"])
-
-        for batch in _small(_filtered(batches, lost, some)):
-            hashes, take, _, _ = order.prefixes(batch.column("hashes"), similarity)
-            mine = batch.filter(pa.array(K.row_sums(off.has(hashes), np.concatenate([[0], np.cumsum(take)])) > 0))
-            none = pa.nulls(mine.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([mine.column("id"), none, none], names=["id", "hash", "c"])
-            held.append(np.frombuffer(b"".join(mine.column("hashes").to_pylist()), np.uint64))
-            count += len(held[-1])
-            if count >= 4 * _FLUSH:
-                yield told()
-                held, count = [np.zeros(0, np.uint64)], 0
-        if count:
-            yield told()
-
-    return rows.select("id", "hashes").mapInArrow(K.frugal(each), "id long, hash long, c long")
-
-
 def pairs_between(asked: DataFrame, rows: DataFrame, lost: DataFrame, similarity: float, order: Order) -> DataFrame:
     """(a, b): all similar pairs of a row of asked and one of rows that isn't lost, written."""
     firsts = prefix_rows(asked, similarity, order)
-    order = Order([*order.late, Bits(firsts.where("not late").groupBy("hash").count().where(F.col("count") > MOST_SHARED), "hash")])
+    order = Order(order.bits, order.often, [Bits(firsts.where("not late").groupBy("hash").count().where(F.col("count") > MOST_SHARED), "hash")])
     mine = materialize(prefix_rows(asked, similarity, order), "asking")
     among, gone = Bits(mine, "hash"), Bits(lost, "id")
     doubtful = _kept_of(rows, gone, lost)
@@ -583,11 +602,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     orphans = materialize(dropped.join(dropped.select(F.col("id").alias("by")).distinct(), "by", "left_semi").select("id").distinct(), "orphans", total)
     if orphans.isEmpty():
         drop_table(rows)
+        order.free()
         return dropped.select("id")
     asked = semi(rows, orphans, "orphans")
     had = pairs_between(asked.select("id", "hashes"), rows, dropped, similarity, order)
     back = materialize(asked.join(had.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select(*asked.columns), "back")
-    still, _ = similar_pairs(back, similarity)
+    still, last = similar_pairs(back, similarity)
     back = materialize(back.select("id").join(_gone(still).select("id"), "id", "left_anti"), "returned")
     drop_table(rows, asked, had)
+    order.free()
+    last.free()
     return dropped.select("id").distinct().join(back, "id", "left_anti")
