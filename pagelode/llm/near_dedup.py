@@ -11,12 +11,15 @@ ones kept in a group's parts then meet once more, and those that went for one th
 group's kept ones; without a similar one they are left to the second step.
 2. All similar pairs of those that are left are found exactly: two sets of similarity t share one of their first
 n - ceil(t n) + 1 hashes in any common order. One pass counts in how many sets the hashes occur; those in more than
-MOST_SHARED come later in the order, those in many times more later still. Sizes, then signatures
+MOST_SHARED come later in the order, those in many times more later still. Sets whose first hashes come to such widely
+shared ones are near copies that fingerprints miss, or texts of common passages: they are settled like the groups of step 1,
+by the least widely shared hash that they have, before pairs are sought, so that a group doesn't meet pair by pair. Places in
+the order (two sets have in common at most what the shorter one has from the first common hash on), then signatures
 (the parity of the hashes in each of 2 n cells or more: two of them can't differ in more cells than the sets differ in
-hashes) rule pairs out before sets are compared. Along the pairs, in order of id, a document goes if a smaller one that
-stays is similar.
-3. Documents that went for one that has gone itself are compared with all that stay, and those without a similar one come
-back, in order of id and unless similar to one that came back before. So no document goes without a kept copy.
+hashes; beside widely shared hashes already where sets meet) rule pairs out before sets are compared. Along the pairs, in
+order of id, a document goes if a smaller one that stays is similar.
+3. Documents that went for one that has gone itself are compared with all that stay, and those without a similar one are
+decided among themselves by steps 2 and 3. So no document goes without a kept copy.
 
 None of this depends on the number of partitions or on the size of the corpus.
 
@@ -57,6 +60,9 @@ MOST_SHARED, STEP, STEPS = 16, 16, 3
 CELLS, COUNTED_AT_ONCE = 4, 21
 SLICE_BYTES = 2 << 20
 ROWS_AT_ONCE = 1000
+PREFIXES_AT_ONCE = 1 << 16
+#: Bytes of signatures compared at once.
+COMPARED_BYTES = 1 << 22
 _FLUSH = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 SETS = "id long, fp long, n int, signature binary, hashes binary"
@@ -226,7 +232,13 @@ def _decided(members: DataFrame, similarity: float, *keys: str) -> DataFrame:
 def grouped_copies(rows: DataFrame, radius: int, similarity: float, total: int) -> DataFrame:
     """(id, by): documents of linked fingerprints that are similar to a smaller one (by) of their group, written."""
     known = materialize(S.linked_rows(rows.select("id", "fp"), radius).select("id", F.col("component_id").alias("component")), "grouped", total)
-    groups = known.join(known.where("id <> component").select("component").distinct(), "component", "left_semi")
+    lost = settled(rows, known.join(known.where("id <> component").select("component").distinct(), "component", "left_semi"), similarity, total)
+    drop_table(known)
+    return lost
+
+
+def settled(rows: DataFrame, groups: DataFrame, similarity: float, total: int) -> DataFrame:
+    """(id, by): documents of the groups (id, component) that are similar to another one (by) of their group, written."""
     groups = materialize(groups.select("id", "component", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")), "groups", total)
     held = members = semi(rows.select("id", "hashes"), groups, "members")
     first = materialize(_decided(members.join(groups, "id").select("component", "salt", "id", "hashes"), similarity, "component", "salt"), "decided")
@@ -241,7 +253,7 @@ def grouped_copies(rows: DataFrame, radius: int, similarity: float, total: int)
     kept = asked.select("component", "salt").distinct().join(kept, "component").select("component", "salt", "id", "hashes", F.lit(0).alias("asks"))
     members = members.join(asked, "id").select("component", "salt", "id", "hashes", F.lit(1).alias("asks"))
     lost = materialize(still.unionByName(gone).unionByName(_copies_of_kept(kept.unionByName(members), similarity)), "lost", total)
-    drop_table(known, groups, held, first, again, asked)
+    drop_table(groups, held, first, again, asked)
     return lost
 
 
@@ -288,18 +300,31 @@ class Order:
         for held in self.often + self.more:
             held.free()
 
-    def prefixes(self, column: pa.Array, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The first hashes of all sets, how many each set gave, whether they come late, and the sets' sizes."""
+    def _ranked(self, column: pa.Array, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All hashes and how late they come, the sets' sizes, and how many first hashes each has."""
         held = [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
         size = np.array([len(x) for x in held], np.int64)
         take = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
         hashes = np.concatenate([*held, np.zeros(0, np.uint64)])
-        off = self.late(hashes)
+        return hashes, self.late(hashes), size, take
+
+    def prefixes(self, column: pa.Array, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The first hashes of all sets, whether they come late, how many hashes their set has from each on, how many each set gave, and the sets' sizes."""
+        hashes, off, size, take = self._ranked(column, similarity)
         row = np.repeat(np.arange(len(size)), size)
         order = np.argsort((len(self.often) + len(self.more) + 1) * row + off, kind="stable")
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-        mine = order[np.arange(len(hashes)) - np.repeat(begin, size) < np.repeat(take, size)]
-        return hashes[mine], take, off[mine] > 0, size
+        rest = np.repeat(np.cumsum(size), size) - np.arange(len(hashes))
+        first = np.repeat(size, size) - rest < np.repeat(take, size)
+        mine = order[first]
+        return hashes[mine], off[mine] > 0, rest[first], take, size
+
+    def shared(self, column: pa.Array, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Whether late hashes are among the first ones of a set, and the least of its late hashes."""
+        hashes, off, size, take = self._ranked(column, similarity)
+        row, late = np.repeat(np.arange(len(size)), size), off > 0
+        least = np.full(len(size), ~K.U64(0))
+        np.minimum.at(least, row[late], hashes[late])
+        return size - np.bincount(row[late], minlength=len(size)) < take, least
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -402,41 +427,105 @@ def frequency_order(parts: list[tuple[DataFrame, Bits | None]]) -> Order:
 
 
 def prefix_rows(rows: DataFrame, similarity: float, order: Order, lost: Bits | None = None, among: Bits | None = None) -> DataFrame:
-    """(hash, late, id, n): the first hashes of the sets of rows (id, hashes).
+    """(hash, late, id, n, rest, signature): the first hashes of the sets of rows (id, signature, hashes).
 
+    rest: how many hashes the set has from this one on. signature: the set's beside late hashes, else null.
     lost: ids to leave out. among: only hashes that may be members.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(_filtered(batches, lost)):
-            hashes, take, late, size = order.prefixes(batch.column("hashes"), similarity)
-            ids, size = np.repeat(batch.column("id").to_numpy(), take), np.repeat(size, take)
+            hashes, late, rest, take, size = order.prefixes(batch.column("hashes"), similarity)
+            row = np.repeat(np.arange(len(take)), take)
             if among is not None:
                 may = among.has(hashes)
-                hashes, late, ids, size = hashes[may], late[may], ids[may], size[may]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(late), pa.array(ids), pa.array(size.astype(np.int32))], names=["hash", "late", "id", "n"])
+                hashes, late, rest, row = hashes[may], late[may], rest[may], row[may]
+            ids, size = batch.column("id").to_numpy()[row], size[row]
+            for at in range(0, len(row), PREFIXES_AT_ONCE):
+                part = slice(at, at + PREFIXES_AT_ONCE)
+                told = batch.column("signature").take(pa.array(row[part], mask=~late[part]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes[part].view(np.int64)), pa.array(late[part]), pa.array(ids[part]), pa.array(size[part].astype(np.int32)), pa.array(rest[part].astype(np.int32)), told],
+                    names=["hash", "late", "id", "n", "rest", "signature"],
+                )
+
+    return rows.select("id", "signature", "hashes").mapInArrow(K.frugal(each), "hash long, late boolean, id long, n int, rest int, signature binary")
+
+
+def shared_groups(parts: list[tuple[DataFrame, Bits | None]], similarity: float, order: Order) -> DataFrame:
+    """(id, component), written: sets whose first hashes come to widely shared ones, by the least of those that they have.
+
+    Similar sets mostly have the same least one. Only such sets can meet in runs that grow with the corpus.
+    """
 
-    return rows.select("id", "hashes").mapInArrow(K.frugal(each), "hash long, late boolean, id long, n int")
+    def asked(without: Bits | None):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _small(_filtered(batches, without)):
+                may, least = order.shared(batch.column("hashes"), similarity)
+                yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(may)), pa.array(least[may].view(np.int64))], names=["id", "component"])
+
+        return each
+
+    known = materialize(_union([part.select("id", "hashes").mapInArrow(K.frugal(asked(without)), "id long, component long") for part, without in parts]), "shared")
+    found = materialize(known.join(known.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("id", "component"), "shared")
+    drop_table(known)
+    return found
+
+
+class Signatures:
+    """Signatures (or nulls) side by side, for counting the cells in which pairs of them differ."""
+
+    def __init__(self, held: np.ndarray) -> None:
+        self.size = np.array([0 if x is None else len(x) for x in held], np.int64)
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        sizes = np.unique(self.size[self.size > 0]).tolist()
+        for least in sizes:  # the larger ones folded
+            at, words, count = np.zeros(len(held), np.int64), [], 0
+            for size in sizes:
+                if size >= least:
+                    rows = np.flatnonzero(self.size == size)
+                    at[rows] = count + np.arange(len(rows))
+                    count += len(rows)
+                    words.append(np.bitwise_xor.reduce(np.frombuffer(b"".join(held[rows]), np.uint64).reshape(len(rows), size // least, -1), axis=1))
+            self.known[least] = at, np.concatenate(words)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many cells the signatures differ at least; none where one isn't known."""
+        out, least = np.zeros(len(i), np.int64), np.minimum(self.size[i], self.size[j])
+        for size, (at, words) in self.known.items():
+            some = np.flatnonzero(least == size)
+            for k in range(0, len(some), max(1, COMPARED_BYTES // size)):
+                part = some[k : k + max(1, COMPARED_BYTES // size)]
+                out[part] = np.bitwise_count(words[at[i[part]]] ^ words[at[j[part]]]).sum(axis=1)
+        return out
 
 
-def _pairs_in_runs(ids: np.ndarray, n: np.ndarray, lead: np.ndarray, size: np.ndarray, similarity: float, side: np.ndarray | None) -> Iterator[np.ndarray]:
-    """(pairs, 2): larger and smaller id of each two rows of a run whose sizes allow the similarity; side: or one of either side."""
+def _pairs_in_runs(ids: np.ndarray, n: np.ndarray, rest: np.ndarray, held: Signatures, hashes: np.ndarray, similarity: float, side: np.ndarray | None) -> Iterator[np.ndarray]:
+    """(pairs, 2): larger and smaller id of each two rows of a run that may be similar; side: or one of either side.
+
+    Two sets have in common at most what the shorter rest holds from their first common hash on, and similar ones have
+    t / (1 + t) of both sizes in common; so they meet in that hash. Signatures rule out pairs of runs that may be long.
+    """
 
     def fit(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6) & (ids[i] != ids[j])
+        both = n[i] + n[j]
+        ok = (np.minimum(rest[i], rest[j]) >= similarity / (1 + similarity) * both - 1e-6) & (ids[i] != ids[j])
+        if side is not None:
+            ok &= side[i] != side[j]
+        i, j, both = i[ok], j[ok], both[ok]
+        ok = held.apart(i, j) <= (1 - similarity) / (1 + similarity) * both + 1e-6
+        i, j = i[ok], j[ok]
         if side is None:
-            i, j = i[ok], j[ok]
             return np.stack([np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])], axis=1)
-        ok &= side[i] != side[j]
-        i, j = i[ok], j[ok]
         return np.stack([np.where(side[i], ids[i], ids[j]), np.where(side[i], ids[j], ids[i])], axis=1)
 
+    lead, size = _runs(hashes)
     for s in np.unique(size[size > 1]).tolist():
         at = lead[size == s]
         if s <= 256:
             i, j = np.triu_indices(s, 1)
-            for k in range(0, len(at), max(1, (1 << 20) // len(i))):
-                some = at[k : k + max(1, (1 << 20) // len(i)), None]
+            for k in range(0, len(at), max(1, (1 << 18) // len(i))):
+                some = at[k : k + max(1, (1 << 18) // len(i)), None]
                 yield fit((some + i).ravel(), (some + j).ravel())
         else:
             for start in at.tolist():
@@ -463,9 +552,9 @@ def meetings(prefixes: DataFrame, similarity: float, sides: bool = False) -> Dat
             yield from out(held)
 
     def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        hashes, ids, n = columns[:3]
+        hashes, ids, n, rest, told = columns[:5]
         found, count = [], 0
-        for pairs in _pairs_in_runs(ids, n, *_runs(hashes), similarity, columns[3] if sides else None):
+        for pairs in _pairs_in_runs(ids, n, rest, Signatures(told), hashes, similarity, columns[5] if sides else None):
             found.append(pairs)
             count += len(pairs)
             if count >= _FLUSH:
@@ -478,7 +567,7 @@ def meetings(prefixes: DataFrame, similarity: float, sides: bool = False) -> Dat
         pairs = _unique_pairs(found)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)], names=["a", "b"])
 
-    keys = ["hash", "id", "n", *["asks"] * sides]
+    keys = ["hash", "id", "n", "rest", "signature", *["asks"] * sides]
     return prefixes.select(*keys).repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(K.frugal(each), "a long, b long")
 
 
@@ -517,21 +606,42 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     return found
 
 
-def similar_pairs(rows: DataFrame, similarity: float, lost: DataFrame | None = None) -> tuple[DataFrame, Order]:
-    """(a, b), a > b: all similar pairs among rows whose id isn't lost, written; and the order of the hashes."""
-    parts, gone, doubtful = [(rows, None)], None, None
-    if lost is not None:
-        gone = Bits(lost, "id")
-        doubtful = _kept_of(rows, gone, lost)
-        parts = [(rows, gone), (doubtful, None)]
+def similar_pairs(rows: DataFrame, similarity: float, lost: DataFrame | None, total: int) -> tuple[DataFrame, DataFrame | None, Order]:
+    """(a, b), a > b: all similar pairs among rows whose id isn't lost, written; those lost by then; the order of the hashes.
+
+    lost: (id, by). Sets of widely shared hashes are settled in groups first and join the lost ones, so that a group
+    of near copies doesn't meet pair by pair.
+    """
+    parts, gone, doubtful = _left(rows, lost)
     order = frequency_order(parts)
+    groups = shared_groups(parts, similarity, order)
+    if not groups.isEmpty():
+        more = settled(rows, groups, similarity, total)
+        if not more.isEmpty():
+            _free(gone, doubtful)
+            lost = materialize(more if lost is None else lost.unionByName(more), "lost", total)
+            parts, gone, doubtful = _left(rows, lost)
+        drop_table(more)
     met = materialize(meetings(_union([prefix_rows(part, similarity, order, without) for part, without in parts]), similarity), "meetings")
     found = verified(met, rows, similarity)
-    drop_table(met)
+    drop_table(met, groups)
+    _free(gone, doubtful)
+    return found, lost, order
+
+
+def _left(rows: DataFrame, lost: DataFrame | None) -> tuple[list[tuple[DataFrame, Bits | None]], Bits | None, DataFrame | None]:
+    """The rows that aren't lost, in parts with bitmaps of ids to leave out; and what is to be freed after use."""
+    if lost is None:
+        return [(rows, None)], None, None
+    gone = Bits(lost, "id")
+    doubtful = _kept_of(rows, gone, lost)
+    return [(rows, gone), (doubtful, None)], gone, doubtful
+
+
+def _free(gone: Bits | None, doubtful: DataFrame | None) -> None:
     if gone is not None:
         drop_table(doubtful)
         gone.free()
-    return found, order
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -548,7 +658,7 @@ def _kept_of(rows: DataFrame, gone: Bits, lost: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(gone.has(batch.column("id").to_numpy())))
 
-    held = rows.select("id", "n", "hashes").mapInArrow(K.frugal(doubtful), "id long, n int, hashes binary")
+    held = rows.select("id", "n", "signature", "hashes").mapInArrow(K.frugal(doubtful), "id long, n int, signature binary, hashes binary")
     return materialize(held.join(lost.select("id").distinct(), "id", "left_anti"), "doubtful")
 
 
@@ -565,6 +675,7 @@ def pairs_between(asked: DataFrame, rows: DataFrame, lost: DataFrame, similarity
     drop_table(mine, doubtful)
     among.free()
     gone.free()
+    order.more[0].free()
     return found
 
 
@@ -594,22 +705,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id) of the documents to drop: each is a near copy of one that stays."""
     rows = set_rows(docs, id_col, text_col, shingle)
     total = rows.count()
-    lost = grouped_copies(rows, radius, similarity, total)
-    pairs, order = similar_pairs(rows, similarity, lost)
+    dropped = _dropped(rows, grouped_copies(rows, radius, similarity, total), similarity, total)
+    drop_table(rows)
+    return dropped
+
+
+def _dropped(rows: DataFrame, lost: DataFrame | None, similarity: float, total: int) -> DataFrame:
+    """(id) of the rows to drop, written; lost: (id, by) that have gone for a similar one before."""
+    pairs, lost, order = similar_pairs(rows, similarity, lost, total)
     gone = _gone(pairs)
-    dropped = materialize(lost.unionByName(gone), "dropped", total)
+    dropped = materialize(gone if lost is None else lost.unionByName(gone), "dropped", total)
     # those that went for one that has gone
     orphans = materialize(dropped.join(dropped.select(F.col("id").alias("by")).distinct(), "by", "left_semi").select("id").distinct(), "orphans", total)
     if orphans.isEmpty():
-        drop_table(rows)
         order.free()
         return dropped.select("id")
     asked = semi(rows, orphans, "orphans")
-    had = pairs_between(asked.select("id", "hashes"), rows, dropped, similarity, order)
-    back = materialize(asked.join(had.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select(*asked.columns), "back")
-    still, last = similar_pairs(back, similarity)
-    back = materialize(back.select("id").join(_gone(still).select("id"), "id", "left_anti"), "returned")
-    drop_table(rows, asked, had)
+    had = pairs_between(asked.select("id", "signature", "hashes"), rows, dropped, similarity, order)
     order.free()
-    last.free()
-    return dropped.select("id").distinct().join(back, "id", "left_anti")
+    back = materialize(asked.join(had.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select(*asked.columns), "back")
+    drop_table(asked, had)
+    if back.isEmpty():
+        return dropped.select("id")
+    # decided among themselves, as the rows were; they are fewer, as the least id never goes
+    returned = back.select("id").join(_dropped(back, None, similarity, total), "id", "left_anti")
+    found = materialize(dropped.select("id").distinct().join(returned, "id", "left_anti"), "dropped", total)
+    drop_table(back, dropped)
+    return found

@@ -541,6 +541,40 @@ def test_hashes_that_many_sets_share_lose_no_pair(spark, monkeypatch):
     assert len(pairs) == len(found) == 30
 
 
+def test_a_group_of_near_copies_doesnt_meet_pair_by_pair(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    template = [f"t{n}" for n in range(300)]
+    written, met = near_dedup.materialize, []
+
+    def counted(df, label, *most):
+        out = written(df, label, *most)
+        if label == "meetings":
+            met[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    for size in (60, 240):
+        texts = []
+        for n in range(size):
+            words = list(template)
+            for k, at in enumerate(rng.choice(300, 3 + n % 5, replace=False)):
+                words[at] = f"e{n}x{k}"
+            texts.append(" ".join(words))
+        met.append(0)
+        found = {r.id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), id_col="id").collect()}
+        assert check_near(found, dict(enumerate(near_dedup.shingle_sets(pa.array(texts), near_dedup.SHINGLE))))
+    assert met[1] <= 8 * met[0] + 1000
+
+
+def test_signatures_side_by_side_differ_as_alone():
+    rng = np.random.default_rng(22)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (5, 30, 40, 100, 140, 700)]
+    held = np.array([near_dedup.signature(x) for x in sets] + [None], object)
+    i, j = np.triu_indices(len(sets), 1)
+    assert near_dedup.Signatures(held).apart(i, j).tolist() == [near_dedup.cells_apart(held[x], held[y]) for x, y in zip(i, j, strict=True)]
+    assert near_dedup.Signatures(held).apart(np.array([6, 2]), np.array([1, 6])).tolist() == [0, 0]
+
+
 def test_signatures_bound_the_difference_of_sets():
     rng = np.random.default_rng(16)
     for n in (1, 3, 64, 65, 700, 3000):
