@@ -26,6 +26,8 @@ LEADING = (np.arange(256) & 0xC0) != 0x80
 
 _LANE_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=U64)
 _LONG_SPAN = 512
+#: Spans joined at once, as that takes several numbers for each of their bytes.
+_SPANS_AT_ONCE = 1 << 15
 
 
 def frugal(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -39,14 +41,19 @@ def frugal(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from each(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U64(30))
@@ -169,8 +176,11 @@ def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.nd
     to = np.cumsum(size + 1)
     at = to - size - 1
     out = np.full(int(to[-1]), 0x20, np.uint8)
-    index = np.arange(int(size.sum())) + np.repeat(starts - (np.cumsum(size) - size), size)
-    out[np.arange(int(size.sum())) + np.repeat(at - (np.cumsum(size) - size), size)] = data[index]
+    for k in range(0, len(size), _SPANS_AT_ONCE):
+        some = size[k : k + _SPANS_AT_ONCE]
+        skip = np.cumsum(some) - some
+        index = np.arange(int(some.sum()))
+        out[index + np.repeat(at[k : k + _SPANS_AT_ONCE] - skip, some)] = data[index + np.repeat(starts[k : k + _SPANS_AT_ONCE] - skip, some)]
     edge = np.concatenate([[0], to])[before]
     full = np.diff(before) > 0
     keep = np.ones(len(out), bool)

@@ -38,6 +38,8 @@ from pagelode.llm.scratch import materialize
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
 SKETCH_BYTES = 128 << 20
+#: Bytes of text in a batch of the result.
+OUT_BYTES = 1 << 20
 KEYS_PER_BUCKET = 1 << 20
 OUTPUTS = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_text": T.StringType()}
 
@@ -69,7 +71,9 @@ def substring_dedup(
 
     def strip(left: pa.Table, right: pa.Table) -> pa.Table:
         flags = {b: np.frombuffer(x, np.uint8) for b, x in zip(right.column("bucket").to_pylist(), right.column("bits").to_pylist(), strict=True)}
-        return pa.Table.from_batches([remove_words(_open(x), sketch.value, flags, id_col, text_col, window, buckets) for x in left.column("payload").to_pylist()])
+        found = [remove_words(_open(x.as_py()), sketch.value, flags, id_col, text_col, window, buckets) for x in left.column("payload")]
+        K.give_back()
+        return pa.Table.from_batches([part for x in found for part in K.slices(x, text_col, OUT_BYTES)], found[0].schema if found else None)
 
     return blocks.select("block", "payload").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(strip, out)
 
@@ -106,10 +110,11 @@ def sketch_bits(windows: int, most_bytes: int) -> int:
     return min(max(16, (2 * max(windows, 1) - 1).bit_length()), most, 30)
 
 
-def cells(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The cell of each window in either row; the rows use different bits of the hash."""
-    mask = K.U64((1 << bits) - 1)
-    return [(hashes & mask).astype(np.uint32), ((hashes >> K.U64(34)) & mask).astype(np.uint32)]
+def cells(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The cell of each window in one row and then the other; the rows use different bits of the hash."""
+    low = np.uint32((1 << bits) - 1)
+    yield hashes.astype(np.uint32) & low
+    yield (hashes >> K.U64(34)).astype(np.uint32) & low
 
 
 def build_sketch(blocks: DataFrame, id_col: str, text_col: str, window: int, bits: int) -> DataFrame:
@@ -118,7 +123,9 @@ def build_sketch(blocks: DataFrame, id_col: str, text_col: str, window: int, bit
     regions = 1 << (bits - region)
 
     def lists(hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for row, cell in enumerate(cells(np.concatenate(hashes), bits)):
+        together = np.concatenate(hashes)
+        hashes.clear()
+        for row, cell in enumerate(cells(together, bits)):
             cell.sort()
             cell = cell[np.concatenate([np.ones(min(2, len(cell)), bool), cell[2:] != cell[:-2]])]
             edge = np.searchsorted(cell, np.arange(regions + 1, dtype=np.uint64) << K.U64(region))
@@ -136,7 +143,7 @@ def build_sketch(blocks: DataFrame, id_col: str, text_col: str, window: int, bit
                 size += len(got)
                 if size >= _FLUSH:
                     yield from lists(held)
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from lists(held)
 
@@ -271,6 +278,7 @@ def earlier_owners(keys: DataFrame) -> DataFrame:
             if earlier[at : at + n].any():
                 out.append((block, bucket, np.packbits(earlier[at : at + n], bitorder="little").tobytes()))
             at += n
+        K.give_back()
         return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([x[1] for x in out], pa.int64()), "bits": pa.array([x[2] for x in out], pa.binary())})
 
     return keys.groupBy("bucket").applyInArrow(answer, "block long, bucket long, bits binary")

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -87,6 +88,17 @@ def test_substring_dedup_of_nothing(empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_joining_the_words_of_a_block_holds_few_numbers_for_each_byte():
+    texts = [" ".join(f"w{n * k % 9973}" for n in range(3000)) for k in range(1, 251)]
+    data, offsets = kernels.text_buffer(pa.array(texts))
+    starts, ends, before = kernels.word_spans(data, offsets)
+    tracemalloc.start()
+    out, at = kernels.joined(data, starts, ends, before)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kernels.string_array(out, at).to_pylist() == texts and most < 16 * len(data)
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------------
 
 
