@@ -85,6 +85,7 @@ class ProjectConfig:
     frames: bool = False
     max_frames: int = 6
     max_frame_nodes: int = 3000
+    bare_references: bool = True
     exclude: tuple[str, ...] = ()
 
 

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,11 +11,13 @@ from pagelode.operators import find as FIND
 from pagelode.operators.budget import StaleCursor, paginate, shrink_to
 from pagelode.operators.page_index import PageIndex
 from pagelode.operators.segment import segment_nodes, split_windows
+from pagelode.plans import queries as Q
 from pagelode.plans.queries import FIXTURE
 from pagelode.plans.tools import Engine, InvalidInput, verified_answer
 from pagelode.sources import manifest as M
 from pagelode.sources.html import project_page
 from pagelode.sources.tree import Selector, parse
+from tests.oracle import same_rows
 
 RANK_PAGE = """<html lang="en"><body><nav><ul><li><a href="/1">refund policy shipping</a></li><li><a href="/2">shipping refund</a></li></ul></nav>
 <main><h1>Help</h1><h2>Refund policy</h2><p>A refund takes ten days. Shipping costs are not paid back.</p>
@@ -260,3 +263,20 @@ def test_the_first_field_and_patterns_of_ones_own(spark):
     cfg = configure({"patterns": {"bid": r"\bbid\b", "search": "(", "submit": "x" * 300}})
     assert afforded(spark, "<button data-k=a type=button>Search</button><button data-k=b type=button>Bid now</button>", cfg) == {"a": {}, "b": {"bid": "name-pattern"}}
     assert afforded(spark, "<a data-k=a href=/>Deutsch</a><a data-k=b href=/>allemand</a>", lang="fr") == {k: {"language-switcher": "language-name"} for k in "ab"}
+
+
+def test_references_without_a_semicolon_are_text_where_they_should_not_count():
+    page = "<body><h1>Fish &amp chips &amp; peas &ampx; &lt;b&gt; &#38; &nosuch; &amp</h1><a href='/?a=1&copy=2&amp;b=3' title='&lt'>R&amp;D &amp</a><script type='application/ld+json'>{\"@type\":\"HowTo\",\"name\":\"A &amp B & C\"}</script>"
+    kept = {n["tag"]: n for n in project_page(page, "https://e.example/", configure({"project": {"bare_references": False}})).nodes}
+    assert kept["h1"]["text"] == "Fish &amp chips & peas &ampx; <b> & &nosuch; &amp"
+    assert (kept["a"]["name"], kept["a"]["href"], kept["a"]["attrs"]["title"]) == ("R&D &amp", "https://e.example/?a=1&copy=2&b=3", "&lt")
+    assert "A &amp B & C" in "".join(parse(page, False).texts())  # scripts stand as they are
+    assert project_page(page).nodes[0]["text"] == "Fish & chips & peas &x; <b> & &nosuch; &"
+
+
+def test_outline_reads_references_as_its_sql_does(spark, tmp_path):
+    rows = [(n, "https://e.example/", f"<html><head><title>{t}</title></head><body><h1>{t}</h1><p>Text</p></body></html>") for n, t in enumerate(["Cut off&amp;&amp", "Fish &lt chips", "R&amp;D &amp;lt;"])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    same_rows(Q.page_outline(spark, str(tmp_path)), con, Q.oracle_sql()["page_outline"])
