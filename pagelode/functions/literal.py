@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Collection
 from functools import cache
 
 from pagelode.config import DEFAULTS, AnswerConfig, TextConfig
-from pagelode.functions.text import BOUNDARY, HUMP, STEM_RULES, fold_table
+from pagelode.functions.text import BOUNDARY, ENDINGS, HUMP, fold_table
 
 _WORD = re.compile(r"[^\W_]+")
 _HUMP, _BOUNDARY = re.compile(HUMP), re.compile(BOUNDARY)
-_RULES = [(re.compile(f"^(.{{3,}}){suffix}$", re.S), rest) for suffix, rest in STEM_RULES]
+#: The endings by their last letter, in the rules' order.
+_BY_LAST = {last: tuple((e, rest, len(e)) for e, rest in ENDINGS if e[-1] == last) for last in {e[-1] for e, _ in ENDINGS}}
 
 
 @cache
@@ -20,7 +23,7 @@ def _table() -> dict[int, str | None]:
 
 
 def fold(text: str) -> str:
-    return text.lower().translate(_table())
+    return text.lower() if text.isascii() else text.lower().translate(_table())
 
 
 def tokens(text: str, cfg: TextConfig = DEFAULTS.text) -> list[str]:
@@ -36,9 +39,9 @@ def tokens(text: str, cfg: TextConfig = DEFAULTS.text) -> list[str]:
 def stem(word: str) -> str:
     if len(word) < 5:
         return word
-    for pattern, rest in _RULES:
-        if m := pattern.match(word):
-            word = m[1] + rest
+    for ending, rest, size in _BY_LAST.get(word[-1], ()):
+        if word.endswith(ending) and len(word) >= size + 3:
+            word = word[:-size] + rest
             break
     return word[:-1] if len(word) > 4 and word.endswith("e") else word
 
@@ -52,6 +55,44 @@ def expand(found: list[str], cfg: TextConfig = DEFAULTS.text) -> list[str]:
     return found + [a + b for a, b in zip(found, found[1:], strict=False) if len(a) <= most and len(b) <= most and len(a + b) >= cfg.min_concat_length]
 
 
+#: Words whose terms a pass remembers, and characters of a text that are cut into words at once.
+REMEMBERED, PIECE = 100_000, 1 << 20
+
+
+class Terms(dict):
+    """The terms of words: folded, with their identifier parts and stems. So many are remembered that memory stays bounded.
+
+    With a set of wanted terms, how many terms a word has and the wanted ones of them.
+    """
+
+    def __init__(self, stems: bool = True, wanted: Collection[str] | None = None) -> None:
+        super().__init__()
+        self.stems, self.wanted = stems, wanted
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        # humps need a capital after the first letter
+        found = tokens(word) if (rest := word[1:]) != rest.lower() else [fold(word)]
+        found = tuple(with_stems(found) if self.stems else found)  # tuples of texts are not traced for rings
+        if self.wanted is not None:
+            found = len(found), tuple(t for t in found if t in self.wanted)
+        self[word] = found
+        return found
+
+
+def word_counts(text: str | None) -> Counter[str]:
+    """How often a text has each word, as it stands."""
+    text, out, at = text or "", Counter(), 0
+    while at < len(text):
+        to = at + PIECE
+        while to < len(text) and text[to - 1].isalnum():
+            to += 1
+        out.update(_WORD.findall(text if to - at >= len(text) else text[at:to]))
+        at = to
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     cuts = [m.end() for m in re.finditer(r"(?<=[.!?])\s+", text)]
     return [(a, b) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True) if a < b]

@@ -26,6 +26,16 @@ STEM_RULES = (
 )
 
 
+def endings(suffix: str) -> list[str]:
+    """The endings that a rule's suffix stands for: alternatives, each with and without an optional last letter."""
+    alternatives = suffix.removeprefix("(?:").removesuffix(")").split("|")
+    return [e for a in alternatives for e in ((a[:-1], a[:-2]) if a.endswith("?") else (a,))]
+
+
+#: (ending, what takes its place), the rules one by one.
+ENDINGS = tuple((e, rest) for suffix, rest in STEM_RULES for e in endings(suffix))
+
+
 @cache
 def fold_table() -> tuple[str, str]:
     """From and to of every character whose decomposition, less its marks, is one character; marks themselves go."""
@@ -78,12 +88,10 @@ def tokens(text: Column, locale: str = "en", cfg: TextConfig = DEFAULTS.text) ->
 
 
 def stem(word: Column) -> Column:
-    """English suffix rules."""
-    out = word
-    for suffix, rest in reversed(STEM_RULES):
-        pattern = f"^(.{{3,}}){suffix}$"
-        out = F.when(word.rlike(pattern), F.regexp_replace(word, F.lit(pattern), F.lit(f"$1{rest}"))).otherwise(out)
-    return F.when(F.length(word) < 5, word).otherwise(F.regexp_replace(out, F.lit("^(.{4,})e$"), F.lit("$1")))
+    """English suffix rules. Endings are compared as they are: a regular expression for each would be too much to compile."""
+    cut = F.coalesce(*[F.when(F.endswith(word, F.lit(e)) & (F.length(word) >= len(e) + 3), F.concat(F.substring(word, F.lit(1), F.length(word) - len(e)), F.lit(rest))) for e, rest in ENDINGS], word)
+    whole = F.transform(F.array(cut), lambda w: F.when(F.endswith(w, F.lit("e")) & (F.length(w) > 4), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w))
+    return F.when(F.length(word) < 5, word).otherwise(whole[0])
 
 
 def with_stems(found: Column) -> Column:

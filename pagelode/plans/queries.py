@@ -52,19 +52,20 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", "text")
 
 
-def doc_index(spark: SparkSession, sf: str) -> L.LexicalIndex:
-    index = L.build_index(documents(spark, sf), "doc_id", "text")
-    # the postings are read for frequencies, for lengths and for hits
-    index.postings = index.postings.persist()
-    lengths = index.postings.groupBy("doc").agg(F.sum("tf").alias("_dl"))
-    index.lengths = documents(spark, sf).select(F.col("doc_id").alias("doc")).join(lengths, "doc", "left").select("doc", F.greatest(F.coalesce("_dl", F.lit(0)), F.lit(1)).alias("dl")).persist()
-    index.stats = index.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return index
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """documents, dealt out where a small file would leave all counting to one task."""
+    rows, cores = documents(spark, sf), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def doc_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """(n, avgdl) of all documents."""
+    return L.length_rows(texts(spark, sf), "doc_id", "text").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def asked_index(spark: SparkSession, sf: str, terms: DataFrame) -> L.LexicalIndex:
     """What the index of all documents tells of these terms."""
-    return L.asked_index(documents(spark, sf), "doc_id", "text", terms)
+    return L.asked_index(texts(spark, sf), "doc_id", "text", terms)
 
 
 def asked_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,18 +156,18 @@ def sentence_split(spark, sf):
 
 @query(f"WITH {Q.term_table('documents')} SELECT doc AS doc_id, term, tf FROM tf")
 def postings(spark, sf):
-    return doc_index(spark, sf).postings.withColumnRenamed("doc", "doc_id")
+    return L.term_rows(texts(spark, sf), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
 @query(f"WITH {BM25} SELECT n, round(avgdl, 6) AS avgdl FROM st")
 def doc_stats(spark, sf):
-    return doc_index(spark, sf).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+    return doc_lengths(spark, sf).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {BM25} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df CROSS JOIN st")
 def idf_table(spark, sf):
-    index = doc_index(spark, sf)
-    return index.document_frequency().crossJoin(F.broadcast(index.stats)).select("term", "df", F.round(L.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    df, stats = L.frequency_rows(texts(spark, sf), "doc_id", "text")
+    return df.crossJoin(F.broadcast(stats)).select("term", "df", F.round(L.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 _RANKED = "SELECT query, doc, round(score, 6) AS score, first, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, first, doc) AS rank FROM hits"
