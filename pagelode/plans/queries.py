@@ -339,10 +339,11 @@ c AS (SELECT doc_id, n, trim(sentence, ' ' || chr(10)) AS sentence, len(list_int
 SELECT doc_id, round(max(coverage), 6) AS coverage, md5(arg_max(sentence, coverage * 1000000 - n)) AS sentence_md5 FROM c GROUP BY doc_id HAVING max(coverage) > 0""")
 def best_sentence(spark, sf):
     """The sentence of each of the first twenty documents that holds most of the query; the earliest of equal ones."""
-    shares = _shares(spark, sf)
-    useful = L.reachable(L.informative(shares)).select("term").distinct()
-    top = L.ranked(asked_hits(spark, sf), (), 20).select(F.col("doc").alias("doc_id"))
-    rows = T.sentence_rows(documents(spark, sf).join(top, "doc_id", "left_semi"), ["doc_id"], "text")
+    terms = L.query_terms(spark, QUERY)
+    index = asked_index(spark, sf, terms)
+    useful = L.reachable(L.informative(L.term_shares(index, terms))).select("term").distinct()
+    top = [r[0] for r in L.ranked(L.bm25_best(index, terms, 20), (), 20).select("doc").collect()]
+    rows = T.sentence_rows(documents(spark, sf).where(F.col("doc_id").isin(top)), ["doc_id"], "text")
     hit = rows.select("doc_id", "n", F.explode(F.array_distinct(T.tokens(F.col("sentence")))).alias("term")).join(useful, "term").groupBy("doc_id", "n").agg(F.count("*").alias("hit"))
     best = hit.groupBy("doc_id").agg(F.max(F.struct("hit", (-F.col("n")).alias("early"))).alias("b")).select("doc_id", "b.hit", (-F.col("b.early")).alias("n"))
     total = useful.agg(F.count("*").alias("all"))
