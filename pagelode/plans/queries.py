@@ -284,8 +284,9 @@ _COVER = f"{_SHARES}, cov AS (SELECT doc, count(DISTINCT term) / (SELECT count(*
 
 
 def _coverage(spark, sf):
-    plain = documents(spark, sf).select(F.col("doc_id").alias("doc"), F.explode(T.tokens(F.col("text"))).alias("term"))
-    return L.coverage(plain, L.informative(_shares(spark, sf)))
+    terms = L.query_terms(spark, QUERY)
+    plain = L.asked_rows(texts(spark, sf), "doc_id", "text", terms, stems=False).select("doc", F.inline("found"))
+    return L.coverage(plain, L.informative(L.term_shares(asked_index(spark, sf, terms), terms)))
 
 
 @query(f"WITH {_COVER} SELECT doc AS doc_id, round(coverage, 6) AS coverage FROM cov")
