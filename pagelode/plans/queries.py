@@ -302,7 +302,7 @@ def confidence_bands(spark, sf):
 @query(f"WITH {_BATCH}, r AS ({_RANKED}) SELECT query, max(CASE WHEN rank = 1 THEN score END) AS top, max(CASE WHEN rank = 2 THEN score END) AS runner_up, coalesce(max(CASE WHEN rank = 2 THEN score END) / max(CASE WHEN rank = 1 THEN score END) > 0.85, false) AS ambiguous FROM r WHERE rank <= 2 GROUP BY query")
 def ambiguity_gate(spark, sf):
     asked = L.batch_terms(read(spark, sf, "benchmark").withColumn("item_id", F.col("item_id").cast("string")), "item_id", "text")
-    return L.ambiguity(L.ranked(L.bm25(asked_index(spark, sf, asked), asked), (), 2))
+    return L.ambiguity(L.ranked(L.bm25_best(asked_index(spark, sf, asked), asked, 2), (), 2))
 
 
 @query(f"WITH {BM25}, p AS (SELECT doc, round(score * CASE WHEN source IN ('src1', 'src2', 'src3') THEN 0.35 ELSE 1 END * CASE WHEN lang = 'de' THEN 0.5 ELSE 1 END, 6) AS score FROM hits JOIN documents ON doc = doc_id) SELECT doc AS doc_id, score, row_number() OVER (ORDER BY score DESC, doc) AS rank FROM p")
