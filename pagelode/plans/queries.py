@@ -110,8 +110,7 @@ def fold_terms(spark, sf):
 
 @query(f"WITH t AS (SELECT DISTINCT unnest({Q.tokens('text')}) AS term FROM documents) SELECT term, {Q.stem('term')} AS stem FROM t WHERE {Q.stem('term')} <> term")
 def stem_terms(spark, sf):
-    found = documents(spark, sf).select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
-    return found.withColumn("stem", T.stem(F.col("term"))).where("stem <> term")
+    return L.vocabulary(texts(spark, sf), "text").withColumn("stem", T.stem(F.col("term"))).where("stem <> term")
 
 
 @query(f"WITH w AS (SELECT DISTINCT unnest({Q.words('text')}) AS word FROM documents) SELECT word, array_to_string({Q.parts('word')}, ' ') AS parts FROM w WHERE len({Q.parts('word')}) > 0")
