@@ -10,10 +10,11 @@ from pagelode.operators import delta as D
 from pagelode.operators import find as FIND
 from pagelode.operators.budget import StaleCursor, paginate, shrink_to
 from pagelode.operators.page_index import PageIndex
-from pagelode.operators.segment import segment_nodes, split_windows
+from pagelode.operators.segment import segment, segment_nodes, segment_stats, split_windows
 from pagelode.plans import queries as Q
 from pagelode.plans.queries import FIXTURE
 from pagelode.plans.tools import Engine, InvalidInput, verified_answer
+from pagelode.sources import html
 from pagelode.sources import manifest as M
 from pagelode.sources.html import project_page
 from pagelode.sources.tree import Selector, parse
@@ -280,3 +281,21 @@ def test_outline_reads_references_as_its_sql_does(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     same_rows(Q.page_outline(spark, str(tmp_path)), con, Q.oracle_sql()["page_outline"])
+
+
+def test_a_pass_over_pages_gives_only_what_is_asked_and_its_passages(spark):
+    pages = spark.createDataFrame([(n, "https://e.example/", f"<html lang=en><body><nav><a href='/{n}' class=x>Go {n}</a></nav><main><h1>T{n}</h1><p>Words of {n}.</p></main></body></html>") for n in range(100)] + [(100, None, None)], "page_id long, url string, html string").coalesce(1)
+    whole, lean = html.project(pages), html.project(pages, parts=("nodes", "chunks"), fields=("seq", "role", "heading_path", "attrs"))
+    rows = [(r["page_id"], [(n["seq"], n["role"], n["heading_path"], n["attrs"]) for n in r["nodes"]], r["chunks"]) for r in lean.collect()]
+    assert rows == [(r["page_id"], [(n["seq"], n["role"], n["heading_path"], n["attrs"]) for n in r["nodes"]], r["chunks"]) for r in whole.collect()]
+    first = lean.first()
+    link = next(n for n in first["nodes"] if n["role"] == "link")
+    assert first["opaque"] is None and link["name"] is None and link["attrs"] == {"href": "/0", "class": "x"}
+    assert first["chunks"][-1]["text"] == "Words of 0."
+    assert str(segment_stats(segment(lean))._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1
+
+
+def test_page_queries_run_python_once_and_keep_nothing(spark, sf):
+    for name in ("nav_controls", "address_ordinals", "segment_strategies", "page_outline"):
+        plan = str(Q.queries()[name](spark, sf)._jdf.queryExecution().executedPlan())
+        assert plan.count("MapInArrow") == 1 and "InMemoryTableScan" not in plan and "MapInPandas" not in plan, name
